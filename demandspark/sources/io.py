@@ -27,6 +27,9 @@ DEMAND_SCHEMA = T.StructType([
     T.StructField("sparse_col", T.DoubleType()),
 ])
 
+CSV_TS_WRITE = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+CSV_TS_READ = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
 WIDE_CITIES = ("houston", "san antonio", "dallas")
 
 WIDE_SCHEMA = T.StructType([T.StructField("date", T.TimestampNTZType())]
@@ -44,7 +47,7 @@ def read_demand_csv(spark: SparkSession, path: str | Sequence[str],
                     schema: T.StructType = DEMAND_SCHEMA) -> DataFrame:
     """SRC1: header CSV with a declared schema; absent columns are simply not in the schema."""
     return (spark.read.schema(schema).option("header", True)
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+            .option("timestampNTZFormat", CSV_TS_READ)
             .csv(path))
 
 
@@ -66,13 +69,10 @@ def read_weather_json(spark: SparkSession, paths: str | Sequence[str], tz: str |
     existing = [p for p in paths if _exists(spark, p)]
     if not existing:
         return spark.createDataFrame([], weather_output_schema())
-    reader = spark.read.option("multiLine", multi_line)
-    as_array = (reader.schema(T.StructType([T.StructField("value", T.ArrayType(WEATHER_RECORD))]))
-                .option("mode", "PERMISSIVE"))
-    # An object file is a struct at top level; an array file is a top-level JSON array,
-    # which Spark already explodes into one row per element.  One schema covers both.
-    raw = reader.schema(WEATHER_RECORD).json(existing)
-    del as_array
+    # An object file is a struct at top level; an array file is a top-level JSON
+    # array, which the reader already turns into one row per element: one declared
+    # schema covers both, and no inference pass runs.
+    raw = spark.read.option("multiLine", multi_line).schema(WEATHER_RECORD).json(existing)
     partitioned = "city" in raw.columns
     rec = raw.select(
         (F.col("city") if partitioned else S.file_stem(F.col("_metadata.file_name"))).alias("city"),
@@ -95,6 +95,7 @@ def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     """SRC4: processed table; ``local_time`` cast to timestamp, ``demand`` required."""
     df = (spark.read.parquet(path) if fmt == "parquet"
           else spark.read.option("header", True).option("inferSchema", False).csv(path))
+    # CSV columns arrive as strings; the timestamp is parsed tolerantly below
     if "demand" not in df.columns:
         raise ValueError("processed table has no 'demand' column")
     if "local_time" in df.columns and df.schema["local_time"].dataType != T.TimestampNTZType():
@@ -119,7 +120,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("timestampNTZFormat", CSV_TS_WRITE).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
