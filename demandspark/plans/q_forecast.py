@@ -81,7 +81,7 @@ def _metric_sql(pred, actual="target_demand", name="baseline", src="test"):
     return (f"SELECT '{name}' AS model, {r4(f'avg(abs({actual} - {pred}))')} AS mae, "
             f"{r4(f'sqrt(avg(({actual} - {pred}) * ({actual} - {pred})))')} AS rmse, "
             f"{r4(f'avg(abs({actual} - {pred}) / greatest(abs({actual}), 2.220446049250313e-16)) * 100')} AS mape "
-            f"FROM {src}")
+            f"FROM {src} GROUP BY 1")
 
 
 def _test(spark, sf):
