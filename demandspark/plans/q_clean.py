@@ -242,6 +242,19 @@ def ano5_detect_anomalies(spark, sf):
     return anomaly.detect_anomalies(fx.demand_panel(spark, sf))
 
 
+@query("set2_detector_union", DP.rstrip() + ",\n" + _SPIKE_DAYS_SQL + f"""
+{_range_sql()}
+UNION ALL {_zdet_sql()}
+UNION ALL {_spike_rows_sql()}""")
+def set2_detector_union(spark, sf):
+    p = fx.demand_panel(spark, sf)
+    parts = [anomaly.range_anomalies(p), anomaly.zscore_anomalies(p), anomaly.spike_anomalies(p)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("ano5_detector_counts", _ANO5_CTES + "\nSELECT detector, CAST(count(*) AS BIGINT) AS rows FROM det GROUP BY detector")
 def ano5_detector_counts(spark, sf):
     return anomaly.detector_counts(anomaly.detect_anomalies(fx.demand_panel(spark, sf)))

@@ -193,3 +193,18 @@ SELECT day, """ + ", ".join(f"CAST(max(CASE WHEN month = {m} THEN label END) AS
 def rsh6_calendar_matrix(spark, sf):
     cal = reshape.calendar_matrix(fx.labelled_panel(spark, sf))
     return cal.select("day", *[F.col(f"`{m}`").cast("double").alias(str(m)) for m in range(1, 13)])
+
+
+@query("clu17_run_report", LP + """
+SELECT metric, value FROM (
+  SELECT 'total_observations' AS metric, CAST(count(*) AS VARCHAR) AS value FROM labelled_panel
+  UNION ALL SELECT 'features_used', 'demand,temperature,humidity,windSpeed,hour,day_of_week,month'
+  UNION ALL SELECT 'optimal_k', CAST(count(DISTINCT label) AS VARCHAR) FROM labelled_panel
+  UNION ALL SELECT 'silhouette_score', ''
+  UNION ALL SELECT 'cluster_sizes', string_agg(label || ':' || n, ',' ORDER BY label)
+            FROM (SELECT label, count(*) AS n FROM labelled_panel GROUP BY label))""")
+def clu17_run_report(spark, sf):
+    from demandspark.operators import scale
+    p = fx.labelled_panel(spark, sf)
+    k = p.select("label").distinct().count()
+    return profile.run_report(p, list(scale.CLUSTER_FEATURES), k, None)

@@ -207,3 +207,58 @@ FROM demand_panel GROUP BY city""")
 def agg15_extent(spark, sf):
     e = rollup.extent(fx.demand_panel(spark, sf), by=["city"])
     return e.select("city", S.format_ts("start").alias("start"), S.format_ts("end").alias("end"), "rows")
+
+
+# --- sort, limit, top-k (SRT1-SRT6) ------------------------------------------------------
+
+HP = fx.with_ctes(fx.SQL_DEMAND_PANEL, fx.SQL_HOURLY_PANEL)
+
+
+@query("srt1_sort_by_time", DP + """
+SELECT row_id, CAST(row_number() OVER (ORDER BY local_time, row_id) - 1 AS BIGINT) AS position FROM demand_panel""")
+def srt1_sort_by_time(spark, sf):
+    return ranking.global_row_index(fx.demand_panel(spark, sf).select("row_id", "local_time"),
+                                    ["local_time", "row_id"], "position").select("row_id", "position")
+
+
+@query("srt2_k_distance_curve", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+pairs AS (SELECT a.id, b.id AS nbr_id, sqrt(round(power(list_distance(a.vec, b.vec), 2), 9)) AS distance FROM v a, v b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, nbr_id) AS rank FROM pairs)
+SELECT CAST(row_number() OVER (ORDER BY distance, id) - 1 AS BIGINT) AS position, """ + r4("distance") + """ AS k_distance
+FROM ranked WHERE rank = 20""")
+def srt2_k_distance_curve(spark, sf):
+    from demandspark.operators import neighbors
+    kd = neighbors.k_distance(neighbors.embedding_points(fx.vectors(spark, sf)), 20, tile_size=256)
+    return round_doubles(kd.select("position", "k_distance"))
+
+
+@query("srt3_preview", DP + """
+SELECT row_id, city, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, demand
+FROM demand_panel ORDER BY local_time, row_id LIMIT 5""")
+def srt3_preview(spark, sf):
+    p = fx.demand_panel(spark, sf).orderBy("local_time", "row_id").limit(5)
+    return p.select("row_id", "city", S.format_ts("local_time").alias("local_time"), "demand")
+
+
+@query("srt4_first_100_with_total", HP + """
+SELECT row_id, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, """ + r4("demand") + """ AS demand,
+       (SELECT CAST(count(*) AS BIGINT) FROM hourly_panel WHERE city = 'view') AS total_rows
+FROM hourly_panel WHERE city = 'view' ORDER BY local_time, row_id LIMIT 100""")
+def srt4_first_100_with_total(spark, sf):
+    h = fx.hourly_panel(spark, sf).filter(F.col("city") == "view")
+    total = h.count()
+    top = h.orderBy("local_time", "row_id").limit(100)
+    return round_doubles(top.select("row_id", S.format_ts("local_time").alias("local_time"), "demand",
+                                    F.lit(total).cast("long").alias("total_rows")))
+
+
+@query("srt5_arg_max", LP + """
+SELECT arg_max(label, m) AS best_label FROM (SELECT label, avg(demand) AS m FROM labelled_panel GROUP BY label)""")
+def srt5_arg_max(spark, sf):
+    per = fx.labelled_panel(spark, sf).groupBy("label").agg(F.avg("demand").alias("m"))
+    return per.agg(F.max_by("label", "m").alias("best_label"))
+
+
+@query("srt6_sorted_distinct", LP + "SELECT DISTINCT label FROM labelled_panel")
+def srt6_sorted_distinct(spark, sf):
+    return fx.labelled_panel(spark, sf).select("label").distinct().orderBy("label")
