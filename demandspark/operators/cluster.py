@@ -1,78 +1,61 @@
 """K-Means, K selection, bisecting hierarchy and quick silhouettes (CLU1-3, CLU7, CLU10, CLU11).
 
-Model fitting is MLlib: every Lloyd iteration is a distributed aggregate of
-per-centre sums, so the data is never gathered; only the k centres (k x d
-numbers) live on the driver.  The feature frame is persisted once and reused
-across restarts and across the K sweep.
+K-Means restarts and the K sweep are fitted together by ``kmeans_batch``:
+every Lloyd iteration is one distributed pass producing per-centre sums for
+all models, so the data is never gathered and never re-read per model; only
+centres (models x k x d numbers) live on the driver.  Labels are assigned by
+a JVM-side nearest-centre expression.  The hierarchy is MLlib's bisecting
+K-Means.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+import numpy as np
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandspark.operators import kmeans_batch
+
 
 @dataclass
 class KMeansFit:
-    model: KMeansModel
+    k: int
+    centres: np.ndarray
     cost: float
     seed: int
+    iterations: int = 0
 
 
-def _kmeans_starts(data: DataFrame, jobs: Sequence[tuple[int, int]], features: str, max_iter: int,
-                   tol: float, parallel: int) -> dict[int, KMeansFit]:
-    """Fit every (k, seed) start as concurrent Spark jobs; keep the lowest cost per k."""
-    var = data.select(Summarizer.variance(F.col(features)).alias("v")).first()["v"]
-    eps = math.sqrt(tol * float(sum(var.toArray()) / max(1, len(var))))
-
-    def fit(job: tuple[int, int]) -> tuple[int, KMeansFit]:
-        k, sd = job
-        model = KMeans(k=k, seed=sd, featuresCol=features, maxIter=max_iter, tol=eps,
-                       predictionCol="_p").fit(data)
-        return k, KMeansFit(model, float(model.summary.trainingCost), sd)
-
-    best: dict[int, KMeansFit] = {}
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
-        for k, f in pool.map(fit, jobs):
-            if k not in best or (f.cost, f.seed) < (best[k].cost, best[k].seed):
-                best[k] = f
-    return best
+def _fits(df: DataFrame, jobs: Sequence[tuple[int, int]], features: str, max_iter: int, tol: float):
+    raw = kmeans_batch.fit_many(df, jobs, features, max_iter, tol)
+    return [KMeansFit(r["k"], r["centres"], r["cost"], r["seed"], r["iterations"]) for r in raw], raw
 
 
 def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, features: str = "features",
-           max_iter: int = 300, tol: float = 1e-4, parallel: int = 8) -> KMeansFit:
-    """CLU1: best of ``n_init`` k-means|| starts by within-cluster sum of squares.
+           max_iter: int = 300, tol: float = 1e-4) -> KMeansFit:
+    """CLU1: best of ``n_init`` k-means++ starts by within-cluster sum of squares.
 
-    ``tol`` is relative, as in the reference: convergence when centres move by
-    less than ``sqrt(tol * mean feature variance)`` (MLlib's own tolerance is an
-    absolute per-centre shift).  Starts run as concurrent Spark jobs.
+    All starts are fitted together (one data pass per iteration); ``tol`` is
+    relative to the mean feature variance, as in the reference.
     """
-    data = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        jobs = [(k, seed + i) for i in range(max(1, n_init))]
-        return _kmeans_starts(data, jobs, features, max_iter, tol, parallel)[k]
-    finally:
-        data.unpersist()
+    fits, _ = _fits(df, [(k, seed + i) for i in range(max(1, n_init))], features, max_iter, tol)
+    return min(fits, key=lambda f: (f.cost, f.seed))
 
 
 def assign(fit: KMeansFit, df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """Nearest-centre labels for every row."""
-    return fit.model.setFeaturesCol(features).setPredictionCol(label).transform(df)
+    return df.withColumn(label, kmeans_batch.nearest_centre(features, fit.centres))
 
 
 def centres(fit: KMeansFit, spark) -> DataFrame:
     """The k centres as a (cluster, features) frame."""
-    from pyspark.ml.linalg import Vectors
-    rows = [(i, Vectors.dense(c)) for i, c in enumerate(fit.model.clusterCenters())]
+    rows = [(i, Vectors.dense([float(v) for v in c])) for i, c in enumerate(fit.centres)]
     return spark.createDataFrame(rows, ["cluster", "features"])
 
 
@@ -86,24 +69,27 @@ def silhouette_fast(df: DataFrame, label: str = "label", features: str = "featur
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 15), n_init: int = 10, seed: int = 42,
-                 features: str = "features", silhouette=None, parallel: int = 8,
-                 max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """CLU2: (k, ssd, silhouette) per K; ``silhouette(frame, label)`` defaults to CLU10.
+                 features: str = "features", silhouette=None, max_iter: int = 300,
+                 tol: float = 1e-4) -> DataFrame:
+    """CLU2: (k, ssd, silhouette) per K.
 
-    All (K, start) fits share one pool of concurrent jobs over one persisted frame.
+    Every (K, start) model is fitted in the same passes over the data, and the
+    squared-Euclidean silhouettes of the K winners come from one more pass
+    (CLU10's definition).  ``silhouette(frame, label)`` substitutes another score.
     """
     spark = df.sparkSession
-    data = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        jobs = [(int(k), seed + i) for k in ks for i in range(max(1, n_init))]
-        fits = _kmeans_starts(data, jobs, features, max_iter, tol, parallel)
-        score_fn = silhouette or (lambda f, lab: silhouette_fast(f, lab, features))
-        for k in sorted(fits):
-            labelled = assign(fits[k], data, "_k", features)
-            rows.append((k, fits[k].cost, score_fn(labelled, "_k")))
-    finally:
-        data.unpersist()
+    jobs = [(int(k), seed + i) for k in ks for i in range(max(1, n_init))]
+    fits, raw = _fits(df, jobs, features, max_iter, tol)
+    best: dict[int, int] = {}
+    for i, f in enumerate(fits):
+        if f.k not in best or (f.cost, f.seed) < (fits[best[f.k]].cost, fits[best[f.k]].seed):
+            best[f.k] = i
+    order = sorted(best)
+    if silhouette is None:
+        scores = kmeans_batch.silhouette_many(df, [raw[best[k]] for k in order], features)
+    else:
+        scores = [silhouette(assign(fits[best[k]], df, "_k", features), "_k") for k in order]
+    rows = [(k, fits[best[k]].cost, s) for k, s in zip(order, scores)]
     return spark.createDataFrame(rows, "k int, ssd double, silhouette double")
 
 

@@ -3,6 +3,7 @@ and the distance operators (JN9, JN10, CLU4-6, CLU8, CLU9)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def cluster_input(spark, sf):
     p = clean.impute_median(p, ["temperature", "humidity"])
     cols = list(scale.CLUSTER_FEATURES)
     z = scale.standardize(p, cols, suffix="_z")
-    return scale.assemble(z, [f"{c}_z" for c in cols]), cols
+    # iterative fits read this frame many times: keep it (recomputable, so executor loss is safe)
+    return scale.assemble(z, [f"{c}_z" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK), cols
 
 
 @query("ml3_pca_scores")

@@ -68,7 +68,7 @@ def test_kmeans_labels_are_nearest_centres(spark):
     x = np.vstack([rng.normal(c, 0.2, (50, 2)) for c in ((0, 0), (5, 5), (0, 5))])
     df = scale.assemble(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), ["a", "b"])
     fit = cluster.kmeans(df, 3, n_init=3)
-    cent = np.array(fit.model.clusterCenters())
+    cent = np.array(fit.centres)
     lab = np.array([r.label for r in cluster.assign(fit, df).select("label").collect()])
     assert (lab == np.argmin(((x[:, None, :] - cent[None]) ** 2).sum(axis=2), axis=1)).all()
 
