@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ def _positions(df: DataFrame, by: str, order: Sequence[str], train_share: float)
     starts = idx.groupBy(by).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("n"))
     out = idx.join(starts, by).withColumn("pos", F.col("_g") - F.col("_s"))
     out = out.withColumn("n_train", F.floor(F.col("n") * train_share).cast("long"))
-    return out.withColumn("is_train", F.col("pos") < F.col("n_train")).drop("_g", "_s")
+    return out.withColumn("is_train", F.col("pos") < F.col("n_train")).drop("_s")
 
 
 def _lagged(df: DataFrame, by: str, value: str, lags: Sequence[int], prefix: str) -> DataFrame:
+    """Lags over the city series; the global index ``_g`` from ``_positions`` is reused, so
+    no pass after the first re-sorts the data."""
     exprs = {f"{prefix}{n}": windows.lag_expr(value, n) for n in lags}
-    return windows.chunked_window(df, [by], ["pos"], exprs, back=max(lags))
+    return windows.chunked_window(df, [by], ["pos"], exprs, back=max(lags), index="_g")
 
 
 def _fit_ls(df: DataFrame, by: str, xs: Sequence[str], y: str, name: str) -> DataFrame:
@@ -76,12 +79,13 @@ def seasonal_ar_fit(series: DataFrame, by: str = "city", order: Sequence[str] =
     y = _lagged(pos, by, value, (1, SEASON, SEASON + 1), "_y")
     w = y.withColumn("w", F.col(value) - F.col("_y1") - F.col(f"_y{SEASON}") + F.col(f"_y{SEASON + 1}"))
     w = w.drop("_y1", f"_y{SEASON}", f"_y{SEASON + 1}")
-    long = _lagged(w, by, "w", LONG_AR_LAGS, "_wl")
+    long = _lagged(w, by, "w", LONG_AR_LAGS, "_wl").persist(StorageLevel.MEMORY_AND_DISK)
     xs1 = [f"_wl{n}" for n in LONG_AR_LAGS]
     c1 = _fit_ls(long.filter("is_train"), by, xs1, "w", "c1")
     fitted = long.join(c1, by)
     pred1 = sum((F.col(x) * F.col("c1")[i] for i, x in enumerate(xs1)), F.lit(0.0))
-    resid = fitted.withColumn("e", F.col("w") - pred1).drop(*xs1, "c1")
+    # read by the stage-2 fit, the forecast tail and the test rows: keep one copy
+    resid = fitted.withColumn("e", F.col("w") - pred1).drop(*xs1, "c1").persist(StorageLevel.MEMORY_AND_DISK)
     stage2 = _lagged(_lagged(resid, by, "w", ARMA_LAGS, "_w"), by, "e", ARMA_LAGS, "_e")
     xs2 = [f"_w{n}" for n in ARMA_LAGS] + [f"_e{n}" for n in ARMA_LAGS]
     c2 = _fit_ls(stage2.filter("is_train"), by, xs2, "w", "coef")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +28,27 @@ WindowExprs = Mapping[str, Callable[[Window], Column]]
 
 def chunked_window(df: DataFrame, by: Sequence[str], order: Sequence[str], exprs: WindowExprs,
                    back: int = 0, ahead: int = 0, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                   keep_index: str | None = None) -> DataFrame:
+                   keep_index: str | None = None, index: str | None = None) -> DataFrame:
     """Evaluate row-offset window ``exprs`` over (by ordered by order) with bounded partitions.
 
     Each entry of ``exprs`` maps an output name to ``fn(w) -> Column`` where
     ``w`` is the window spec to use; frames may look at most ``back`` rows
-    behind and ``ahead`` rows ahead.
+    behind and ``ahead`` rows ahead.  ``index`` names an existing 0-based
+    global position in (by, order) order -- e.g. from an earlier call on the
+    same rows -- and saves the sort.
     """
     if back >= chunk_rows or ahead >= chunk_rows:
         raise ValueError("chunk_rows must exceed the window reach")
     by, order = list(by), list(order)
-    idx = ranking.global_row_index(df, [*by, *order], "_gi")
+    if index:
+        idx = df.withColumnRenamed(index, "_gi") if index != "_gi" else df
+        if keep_index is None and index != "_gi":
+            keep_index = index
+        # base and halo branches both read this frame: keep one copy instead of
+        # evaluating the upstream plan twice (deterministic, so safe to recompute)
+        idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        idx = ranking.global_row_index(df, [*by, *order], "_gi")
     chunk = F.floor(F.col("_gi") / chunk_rows)
     pos = F.col("_gi") % chunk_rows
     parts = [idx.withColumns({"_chunk": chunk, "_core": F.lit(True)})]
