@@ -30,11 +30,30 @@ def oracle_round(c: ColumnOrName, digits: int = 4) -> Column:
 # --- FN1-FN3: timestamps ---------------------------------------------------
 
 def epoch_to_local(epoch_s: ColumnOrName, tz: str | None = None) -> Column:
-    """Epoch seconds -> wall-clock timestamp in ``tz`` (UTC wall clock when None)."""
-    ts = F.timestamp_seconds(col(epoch_s))
-    if tz:
-        ts = F.from_utc_timestamp(ts, tz)
-    return ts.cast("timestamp_ntz")
+    """Epoch seconds -> wall-clock timestamp (TIMESTAMP_NTZ) in ``tz`` (UTC when None).
+
+    Built from the day number and the seconds of the day, so the session time
+    zone never enters; a named ``tz`` is applied with ``convert_timezone``.
+    """
+    e = col(epoch_s).cast("long")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(e / 86400).cast("int"))
+    sod = e - F.floor(e / 86400) * 86400
+    utc = F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day),
+                               F.floor(sod / 3600), F.floor(sod % 3600 / 60), sod % 60)
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc) if tz else utc
+
+
+def ntz_epoch_seconds(c: ColumnOrName) -> Column:
+    """Whole seconds from 1970-01-01 00:00:00 to a wall-clock timestamp read as UTC."""
+    t = col(c)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+
+
+def hour_start(c: ColumnOrName) -> Column:
+    """Wall-clock timestamp truncated to the hour, without a session-zone round trip."""
+    t = col(c)
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.lit(0), F.lit(0))
 
 
 def format_ts(c: ColumnOrName, with_time: bool = True) -> Column:

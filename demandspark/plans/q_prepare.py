@@ -51,7 +51,7 @@ SELECT city, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time,
        {r4('temperature')} AS temperature, {r4('humidity * 100')} AS humidity FROM weather""")
 def src3_read_weather_json(spark, sf):
     w = fx.weather_panel(spark, sf)
-    recs = w.select("city", F.unix_timestamp(F.col("local_time").cast("timestamp")).alias("time"),
+    recs = w.select("city", S.ntz_epoch_seconds("local_time").alias("time"),
                     "temperature", "humidity")
     path = io.write_table(recs, scratch_path(spark, "weather_json"), "json", partition_by=["city"])
     df = io.read_weather_json(spark, path, multi_line=False)
@@ -283,7 +283,7 @@ SELECT row_id, strftime(timezone('America/Chicago', to_timestamp(floor(epoch(loc
                         '%Y-%m-%d %H:%M:%S') AS local_time FROM demand_panel""")
 def fn1_epoch_to_local(spark, sf):
     p = fx.demand_panel(spark, sf)
-    epoch = F.unix_timestamp(F.col("local_time").cast("timestamp"))
+    epoch = S.ntz_epoch_seconds("local_time")
     return p.select("row_id", S.format_ts(S.epoch_to_local(epoch, "America/Chicago")).alias("local_time"))
 
 
@@ -412,7 +412,7 @@ SELECT city, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, CAST(NULL
        CAST(NULL AS DOUBLE) AS cloudCover FROM weather""")
 def fn22_missing_key_null(spark, sf):
     w = fx.weather_panel(spark, sf)
-    recs = w.select("city", F.unix_timestamp(F.col("local_time").cast("timestamp")).alias("time"),
+    recs = w.select("city", S.ntz_epoch_seconds("local_time").alias("time"),
                     "temperature")
     path = io.write_table(recs, scratch_path(spark, "weather_missing"), "json", partition_by=["city"])
     df = io.read_weather_json(spark, path, multi_line=False)

@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _hour(c) -> F.Column:
-    return F.date_trunc("hour", c).cast("timestamp_ntz")
+    return S.hour_start(c)
 
 
 def demand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

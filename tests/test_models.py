@@ -1,5 +1,6 @@
 """Model operators against numpy on small fixtures."""
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -102,3 +103,18 @@ def test_metrics(spark):
     r = fc.metrics(df).first()
     assert r.mae == 1.5 and abs(r.rmse - np.sqrt(2.5)) < 1e-12
     assert abs(r.mape - (20.0 + 1 / 2.220446049250313e-16 * 100) / 2) / r.mape < 1e-9
+
+
+def test_batched_kmeans_silhouette_matches_mllib_and_sweep_keeps_best_start(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, 0.5, (80, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 0), (0, 0, 4))])
+    df = scale.assemble(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])), ["a", "b", "c"])
+    from demandspark.operators import kmeans_batch
+    raw = kmeans_batch.fit_many(df, [(4, s) for s in range(5)] + [(2, 7)])
+    best4 = min((r for r in raw if r["k"] == 4), key=lambda r: r["cost"])
+    ours = kmeans_batch.silhouette_many(df, [best4])[0]
+    fit = cluster.KMeansFit(4, best4["centres"], best4["cost"], best4["seed"])
+    mllib = cluster.silhouette_fast(cluster.assign(fit, df))
+    assert abs(ours - mllib) < 1e-9
+    sweep = {r.k: r.ssd for r in cluster.kmeans_sweep(df, [2, 4], n_init=5, seed=0).collect()}
+    assert sweep[4] == pytest.approx(best4["cost"], rel=1e-9) and sweep[2] > sweep[4]
