@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads finite files only -- it has no stream source, watermark,
+event-time window, session or state anywhere -- so there is no streaming
+operator to rebuild.  Its time windows are calendar rollups
+(``operators.rollup``) and row-offset frames (``operators.windows``), which
+run as batch jobs.
+"""
