@@ -158,15 +158,18 @@ def exclude_noise(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(F.col(label) != -1)
 
 
-def sample_exact(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
+def sample_exact(df: DataFrame, n: int, seed: int = 42, key: str = "row_id",
+                 strict: bool = True) -> DataFrame:
     """SMP1: exactly ``n`` rows chosen by a seeded hash of the key (repeatable).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task keeps
     its n best rows and one task merges them, so memory is bounded by n per
-    task.  Raises if fewer than ``n`` rows exist, as the reference does.
+    task (n is the sample size, the feature).  With ``strict`` it raises when
+    fewer than ``n`` rows exist, as the reference does.
     """
-    out = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
-    return out
+    if strict:
+        sample_size_check(df, n)
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
 def sample_size_check(df: DataFrame, n: int) -> None:

@@ -7,6 +7,7 @@ from a ``city=`` directory when the folder is Hive-partitioned).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +61,16 @@ def read_weather_json(spark: SparkSession, paths: str | Sequence[str], tz: str |
                       multi_line: bool = True) -> DataFrame:
     """SRC3: weather readings -> (city, local_time, weather columns).
 
-    A file holds one object or an array of objects; both are read with the same
-    schema (an array column that is NULL for object files and vice versa), so no
-    inference pass runs.  Missing paths are skipped; rows without ``time`` too.
+    A file holds one object or an array of objects; both are read with one
+    declared schema, so no inference pass runs.  Missing paths are skipped with
+    a warning; rows without ``time`` are dropped.
     """
     if isinstance(paths, str):
         paths = [paths]
     existing = [p for p in paths if _exists(spark, p)]
+    for p in paths:
+        if p not in existing:
+            warnings.warn(f"weather file not found, skipped: {p}", stacklevel=2)
     if not existing:
         return spark.createDataFrame([], weather_output_schema())
     # An object file is a struct at top level; an array file is a top-level JSON

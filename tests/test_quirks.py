@@ -93,8 +93,10 @@ def test_src3_weather_json_object_array_and_missing_time(spark):
                    {"temperature": 61.0}], f, indent=1)
     with open(os.path.join(d, "dallas.json"), "w") as f:
         json.dump({"time": 1704070800, "temperature": 55.0, "windSpeed": 3.0}, f, indent=1)
-    got = io.read_weather_json(spark, [os.path.join(d, "san_antonio.json"), os.path.join(d, "dallas.json"),
-                                       os.path.join(d, "missing.json")]).orderBy("city").collect()
+    import pytest
+    with pytest.warns(UserWarning, match="missing.json"):
+        got = io.read_weather_json(spark, [os.path.join(d, "san_antonio.json"), os.path.join(d, "dallas.json"),
+                                           os.path.join(d, "missing.json")]).orderBy("city").collect()
     assert [(r.city, str(r.local_time), r.humidity, r.pressure) for r in got] == [
         ("dallas", "2024-01-01 01:00:00", None, None), ("san_antonio", "2024-01-01 00:00:00", 50.0, None)]
 
@@ -104,3 +106,6 @@ def test_smp1_exact_size_and_repeatable(spark):
     a = [r.row_id for r in reshape.sample_exact(df, 100, seed=42).collect()]
     b = [r.row_id for r in reshape.sample_exact(df, 100, seed=42).collect()]
     assert len(a) == 100 and a == b
+    import pytest
+    with pytest.raises(ValueError):
+        reshape.sample_exact(df, 1001)
