@@ -21,7 +21,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, nbr_i
 """
 
 
-def _z_sql(c, src_filter=""):
+def _z_sql(c):
     return (f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 "
             f"ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END")
 
