@@ -13,8 +13,10 @@ Spark jobs that never gather a city's series:
 4. its residuals stand in for the innovations, and ``w_t`` is regressed on
    ``w`` and residual lags 1, 24 and 25 (the AR and MA terms of the
    multiplicative model, left unconstrained);
-5. each city's forecast of its test span is a recursion that starts from a
-   25-row tail state, run per city in ``applyInPandas`` (one small group each).
+5. the forecast recursion is linear, so each test row's forecast is a row of
+   ``M^k z`` for the city's 75 x 75 state map ``M`` and 25-row tail state
+   ``z``; test rows are scored in parallel batches, so no task walks a whole
+   city's horizon.
 """
 
 from __future__ import annotations
@@ -92,46 +94,89 @@ def seasonal_ar_fit(series: DataFrame, by: str = "city", order: Sequence[str] =
     return resid, c2
 
 
-def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", value: str = "demand") -> DataFrame:
-    """Recursive forecast of every city's test span from its last 25 training rows."""
-    tail_n = SEASON + 1
+_LAGS = SEASON + 1          # 25 values of w, e and y make the state
+_DIM = 3 * _LAGS            # state: w_t..w_{t-24}, e_t..e_{t-24}, y_t..y_{t-24}
+
+
+def _transition(coef) -> np.ndarray:
+    """State map z_{t+1} = M z_t of the fitted recursion with future innovations at zero."""
+    a1, a24, a25, b1, b24, b25 = coef
+    m = np.zeros((_DIM, _DIM))
+    w0, e0, y0 = 0, _LAGS, 2 * _LAGS
+    # new w from lagged w and e (state index j holds lag j + 1 after the step)
+    m[w0, w0 + 0], m[w0, w0 + SEASON - 1], m[w0, w0 + SEASON] = a1, a24, a25
+    m[w0, e0 + 0], m[w0, e0 + SEASON - 1], m[w0, e0 + SEASON] = b1, b24, b25
+    # new y = new w + y_{t} + y_{t-23} - y_{t-24}
+    m[y0] = m[w0]
+    m[y0, y0 + 0] += 1.0
+    m[y0, y0 + SEASON - 1] += 1.0
+    m[y0, y0 + SEASON] -= 1.0
+    for base in (w0, e0, y0):   # shift the lags; the new e stays 0
+        for j in range(1, _LAGS):
+            m[base + j, base + j - 1] = 1.0
+    return m
+
+
+def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", value: str = "demand",
+                         test: DataFrame | None = None) -> DataFrame:
+    """Forecast every test position of every city from its last 25 training rows.
+
+    The recursion is linear, so the forecast ``k`` steps ahead is a row of
+    ``M^k z`` (``M`` the 75 x 75 state map, ``z`` the tail state).  Each city's
+    (M, z) is one small row built from its 25-row tail; the test rows are then
+    scored in parallel batches: within a batch, rows are sorted by step, the
+    first power comes from repeated squaring and later ones from one
+    matrix-vector product per step.  No task walks a whole city's horizon.
+    """
+    tail_n = _LAGS
     tail = resid.filter(F.col("is_train") & (F.col("pos") >= F.col("n_train") - tail_n))
-    state = (tail.select(by, "pos", value, "w", "e", "n", "n_train")
-             .join(coef, by))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        a1, a24, a25, b1, b24, b25 = pdf["coef"].iloc[0]
-        n, n_train = int(pdf["n"].iloc[0]), int(pdf["n_train"].iloc[0])
-        ys = list(pdf[value].astype(float))
-        ws = [0.0 if pd.isna(v) else float(v) for v in pdf["w"]]
-        es = [0.0 if pd.isna(v) else float(v) for v in pdf["e"]]
-        out_pos, out_pred = [], []
-        for step in range(n - n_train):
-            w_hat = (a1 * ws[-1] + a24 * ws[-SEASON] + a25 * ws[-SEASON - 1]
-                     + b1 * es[-1] + b24 * es[-SEASON] + b25 * es[-SEASON - 1])
-            y_hat = w_hat + ys[-1] + ys[-SEASON] - ys[-SEASON - 1]
-            ws.append(w_hat)
-            es.append(0.0)
-            ys.append(y_hat)
-            out_pos.append(n_train + step)
-            out_pred.append(y_hat)
-        return pd.DataFrame({by: pdf[by].iloc[0], "pos": np.array(out_pos, dtype=np.int64),
-                             "prediction": np.array(out_pred, dtype=np.float64)})
-
-    # a city needs a full 25-row tail of training rows to start the recursion
-    enough = tail.groupBy(by).agg(F.count(F.lit(1)).alias("_t")).filter(F.col("_t") >= tail_n)
-    state = state.join(enough.select(by), by)
-    return state.groupBy(by).applyInPandas(run, f"{by} string, pos long, prediction double")
+    state = tail.select(by, "pos", value, "w", "e").join(coef, by)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ascending=False)  # newest first = lag order
+        if len(pdf) < tail_n:
+            return pd.DataFrame({by: pd.Series(dtype=object), "m": pd.Series(dtype=object),
+                                 "z": pd.Series(dtype=object)})
+        z = np.concatenate([np.nan_to_num(pdf["w"].to_numpy(dtype=float)),
+                            np.nan_to_num(pdf["e"].to_numpy(dtype=float)),
+                            pdf[value].to_numpy(dtype=float)])
+        m = _transition(pdf["coef"].iloc[0])
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "m": [m.ravel().tolist()], "z": [z.tolist()]})
+
+    models = state.groupBy(by).applyInPandas(build, f"{by} string, m array<double>, z array<double>")
+    steps = (test if test is not None else resid.filter(~F.col("is_train")))
+    steps = steps.select(by, "pos", (F.col("pos") - F.col("n_train") + 1).alias("_k")).join(models, by)
+
+    def score(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values([by, "_k"])
+            preds = np.empty(len(pdf))
+            for _, idx in pdf.groupby(by, sort=False).indices.items():
+                rows = pdf.iloc[idx]
+                m = np.asarray(rows["m"].iloc[0]).reshape(_DIM, _DIM)
+                z = np.asarray(rows["z"].iloc[0], dtype=float)
+                ks = rows["_k"].to_numpy()
+                cur_k, v = 0, z
+                for i, k in zip(idx, ks):
+                    gap = int(k) - cur_k
+                    v = np.linalg.matrix_power(m, gap) @ v if gap > 1 else (m @ v if gap == 1 else v)
+                    cur_k = int(k)
+                    preds[i] = v[2 * _LAGS]
+            yield pd.DataFrame({by: pdf[by].to_numpy(), "pos": pdf["pos"].to_numpy(dtype=np.int64),
+                                "prediction": preds})
+
+    return steps.mapInPandas(score, f"{by} string, pos long, prediction double")
 
 
 def seasonal_ar_predictions(series: DataFrame, by: str = "city", value: str = "demand",
                             train_share: float = 0.8) -> DataFrame:
     """FC11: (row_id, model, actual, prediction) over every city's test span."""
     resid, coef = seasonal_ar_fit(series, by, value=value, train_share=train_share)
-    fc = seasonal_ar_forecast(resid, coef, by, value)
-    test = resid.filter(~F.col("is_train")).select("row_id", by, "pos", F.col(value).alias("actual"))
-    return (test.join(fc, [by, "pos"])
+    test = resid.filter(~F.col("is_train"))
+    fc = seasonal_ar_forecast(resid, coef, by, value, test)
+    return (test.select("row_id", by, "pos", F.col(value).alias("actual")).join(fc, [by, "pos"])
             .select("row_id", F.lit("seasonal_ar").alias("model"), "actual", "prediction"))
 
 
