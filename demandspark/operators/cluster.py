@@ -70,12 +70,14 @@ def silhouette_fast(df: DataFrame, label: str = "label", features: str = "featur
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 15), n_init: int = 10, seed: int = 42,
                  features: str = "features", silhouette=None, max_iter: int = 300,
-                 tol: float = 1e-4) -> DataFrame:
+                 tol: float = 1e-4, return_fits: bool = False):
     """CLU2: (k, ssd, silhouette) per K.
 
     Every (K, start) model is fitted in the same passes over the data, and the
     squared-Euclidean silhouettes of the K winners come from one more pass
     (CLU10's definition).  ``silhouette(frame, label)`` substitutes another score.
+    With ``return_fits`` the best fit per K comes back too, so a caller does
+    not refit the chosen K.
     """
     spark = df.sparkSession
     jobs = [(int(k), seed + i) for k in ks for i in range(max(1, n_init))]
@@ -90,7 +92,8 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 15), n_init: int =
     else:
         scores = [silhouette(assign(fits[best[k]], df, "_k", features), "_k") for k in order]
     rows = [(k, fits[best[k]].cost, s) for k, s in zip(order, scores)]
-    return spark.createDataFrame(rows, "k int, ssd double, silhouette double")
+    sweep = spark.createDataFrame(rows, "k int, ssd double, silhouette double")
+    return (sweep, {k: fits[best[k]] for k in order}) if return_fits else sweep
 
 
 def choose_k(sweep: DataFrame, ref_offset: int = 1) -> DataFrame:
