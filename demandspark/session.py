@@ -2,7 +2,8 @@
 
 On a cluster the session comes from the platform and ``spark.checkpoint.dir``
 names a shared (HDFS/object-store) folder; nothing here overrides it.  Only
-when it is unset -- local tests -- is a fresh scratch folder chosen.
+when it is unset in local mode (tests) is a fresh scratch folder chosen; off
+local mode a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in (extra or {}).items():
@@ -42,6 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local["):  # executors elsewhere would not see the driver's disk
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="demandspark-ckpt-")  # tests only: no cluster setting
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
