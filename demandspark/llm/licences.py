@@ -115,7 +115,7 @@ def recognised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def matched_rules(sequence: Column) -> Column:
-    """Licences (distinct, in rule order) whose rules match the sequence '|id|id|...|'."""
+    """The names of the rules that match the sequence '|id||id|...', in rule order, and what is left of it."""
     state = F.struct(F.lit("").alias("found"), sequence.alias("rest"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(ids) + "|").alias("ids"))
                       for name, ids in RULES])
@@ -127,7 +127,7 @@ def matched_rules(sequence: Column) -> Column:
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_known (known sentences), sentence_ids in order, licences."""
+    """One row per row: id, n_known (known sentences), sentence_ids in order, licences (sorted)."""
     seq = (recognised(df, id_col, text_col).groupBy("_id", "_key")
            .agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("hits"))
            .select(F.col("_id").alias("__id"), F.col("_key").alias("__hit"),
@@ -136,6 +136,6 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = rows.join(seq, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hit")), "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     sequence = F.array_join(F.transform(ids, lambda s: F.concat(F.lit("|"), s, F.lit("|"))), "")
-    names = F.array_distinct(F.filter(F.split(matched_rules(sequence)["found"], " ", -1), lambda x: x != ""))
+    names = F.array_sort(F.array_distinct(F.split(F.trim(matched_rules(sequence)["found"]), " ", -1)))
     return out.select(id_col, F.size(ids).alias("n_known"), F.array_join(ids, " ").alias("sentence_ids"),
                       F.array_join(names, " ").alias("licences"))

@@ -43,12 +43,14 @@ later AS (
 covered AS (
   SELECT doc_id, list_sort(list(DISTINCT line)) AS c
   FROM (SELECT doc_id, unnest(range(p, p + 3)) AS line FROM later) GROUP BY doc_id)
+kept AS (
+  SELECT doc_id, string_agg(l[i], chr(10) ORDER BY i) AS text
+  FROM (SELECT lines.doc_id, l, c, unnest(range(1, len(l) + 1)) AS i FROM lines JOIN covered USING (doc_id))
+  WHERE NOT list_contains(c, i - 1) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines,
        CAST(coalesce(len(c), 0) AS INTEGER) AS n_removed,
-       CASE WHEN c IS NULL THEN d.text ELSE coalesce(array_to_string(
-         [x.t FOR x IN list_transform(string_split(d.text, chr(10)), (t, i) -> {'t': t, 'i': i - 1})
-          IF NOT list_contains(c, x.i)], chr(10)), '') END AS text
-FROM documents d LEFT JOIN covered ON covered.doc_id = d.doc_id"""
+       CASE WHEN c IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 
 @_query("op2_line_dedup", LINE_DEDUP_SQL)
@@ -85,7 +87,7 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _licence_sql() -> str:
     known = ", ".join(f"('{sid}', '{s}')" for sid, s in licences.SENTENCES)
-    names, seq = "''", "seq"
+    names = "''"
     for k, (name, ids) in enumerate(licences.RULES):
         # each rule sees what the rules before it left
         pattern = "|" + "||".join(ids) + "|"
@@ -108,8 +110,7 @@ ids AS (
   FROM documents d LEFT JOIN hits ON hits.doc_id = d.doc_id),
 {steps}
 SELECT doc_id, CAST(n AS INTEGER) AS n_known, ids AS sentence_ids,
-       array_to_string([x.v FOR x IN list_transform(string_split({names}, ' '), (v, i) -> {{'v': v, 'i': i}})
-         IF x.v <> '' AND list_position(string_split({names}, ' '), x.v) = x.i], ' ') AS licences
+       array_to_string(list_sort(list_distinct(string_split(trim({names}), ' '))), ' ') AS licences
 FROM s{len(licences.RULES) - 1}"""
 
 
