@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandspark.llm import (byte_bpe, fingerprints, jaccard, language, licences, line_dedup, neighbours, packing,
-                             quality)
+from demandspark.llm import (byte_bpe, fingerprints, jaccard, language, licences, line_dedup, maxent, neighbours,
+                             packing, quality)
 from demandspark.sources.fixtures import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ later AS (
   SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
 covered AS (
   SELECT doc_id, list_sort(list(DISTINCT line)) AS c
-  FROM (SELECT doc_id, unnest(range(p, p + 3)) AS line FROM later) GROUP BY doc_id)
+  FROM (SELECT doc_id, unnest(range(p, p + 3)) AS line FROM later) GROUP BY doc_id),
 kept AS (
   SELECT doc_id, string_agg(l[i], chr(10) ORDER BY i) AS text
   FROM (SELECT lines.doc_id, l, c, unnest(range(1, len(l) + 1)) AS i FROM lines JOIN covered USING (doc_id))
@@ -122,3 +122,8 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_fingerprints")
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_maxent_scores")
+def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(read_table(spark, sf_dir, "documents"))
