@@ -32,3 +32,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def id_bucket(id_col: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def without(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without the rows of ``dropped`` (id and row_key, the hash of id and text).
+
+    The dropped rows are written first, so that the planner knows their size
+    when it decides between a broadcast and a shuffle.
+    """
+    gone = written(dropped.select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct(), "dropped")
+    return df.join(gone, df[id_col].eqNullSafe(gone["__id"])
+                   & (F.xxhash64(df[id_col], df[text_col]) == gone["__key"]), "left_anti")

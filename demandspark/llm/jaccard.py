@@ -333,13 +333,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
                                             F.col("key").alias("row_key"))
 
 
-def one_of_each(df: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that stand for their class: those of its least id.
+def surplus(classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows that do not stand for their class: those without its least id.
 
     Rows with the same id and text count as one row.  A class whose ids are all
     null keeps its rows.
     """
-    keep = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(
-        F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("__id"))
-                   & (F.xxhash64(id_col, text_col) == F.col("__key")), "left_semi")
+    return classes.filter(~F.col(id_col).eqNullSafe(F.col("class_id")))

@@ -116,13 +116,17 @@ def _normalised(a: Column) -> Column:
 
 def identify(df: DataFrame, langs: list[str], table: np.ndarray, id_col: str, text_col: str = "text",
              declared_col: str | None = None, suffix_col: str | None = None, host_col: str | None = None) -> DataFrame:
-    """One row per row: id, declared, suffix, host, text_lang, lang and confidence (its posterior)."""
+    """One row per row: id, declared, suffix, host, text_lang, lang, confidence (its posterior) and row_key.
+
+    ``row_key`` is the hash of id and text, which tells rows with one id apart.
+    """
     k = len(langs)
     named = {"declared": declared_col, "suffix": suffix_col, "host": host_col}
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"),
+    base = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"),
+                     F.col(text_col).alias("body"),
                      *[(F.coalesce(F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")), F.lit("-"))
                         if c else F.lit("-")).alias(name) for name, c in named.items()])
-    rows = text_likelihoods(base, table, ["id", "declared", "suffix", "host"], "body")
+    rows = text_likelihoods(base, table, ["id", "row_key", "declared", "suffix", "host"], "body")
     flat = F.array(*[F.lit(0.0 if lang != UND else float(np.log(UND_PRIOR))) for lang in langs])
     rows = written(rows.select("*", _normalised(F.zip_with("ll", flat, lambda a, b: a + b)).alias("post")),
                    "language-likelihoods")
@@ -151,10 +155,10 @@ def identify(df: DataFrame, langs: list[str], table: np.ndarray, id_col: str, te
     evidence = F.zip_with(F.zip_with(prior, "l_declared", lambda a, b: a + b), "ll", lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    fused = joined.select("id", "declared", "suffix", "host", best(F.col("post")).alias("text_lang"),
+    fused = joined.select("id", "row_key", "declared", "suffix", "host", best(F.col("post")).alias("text_lang"),
                           _normalised(evidence).alias("p"))
     return fused.select(F.col("id").alias(id_col), "declared", "suffix", "host", "text_lang",
-                        best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"))
+                        best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), "row_key")
 
 
 # --- pages -----------------------------------------------------------------------------------------------
@@ -204,6 +208,6 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return identify(docs, langs, table, id_col, "text", "lang", None, "source")
 
 
-def accepted(identified: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rows with a language of sufficient confidence."""
-    return identified.filter((F.col("lang") != UND) & (F.col("confidence") >= min_confidence))
+def rejected(identified: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rows without a language of sufficient confidence."""
+    return identified.filter((F.col("lang") == UND) | (F.col("confidence") < min_confidence))

@@ -70,15 +70,18 @@ def merged_spans(lines: Column) -> Column:
     return let(lines, spans)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                prefix: str = "") -> DataFrame:
     """``df`` with the repeated lines removed from the text, and three columns more.
 
     ``n_lines`` and ``n_removed`` count lines (0 for a null text), ``removed``
-    holds the merged spans.  Columns of those names in ``df`` are replaced.
+    holds the merged spans; ``prefix`` goes before their names.  Columns of
+    ``df`` with those names are replaced.
     """
-    own = [c for c in df.columns if c not in ("n_lines", "n_removed", "removed")]
+    added = [f"{prefix}{c}" for c in ("n_lines", "n_removed", "removed")]
+    own = [c for c in df.columns if c not in added]
     covered = covered_lines(df, id_col, text_col, window)
-    keyed = df.select(*[F.col(f"`{c}`") for c in own],
+    keyed = df.select(*[f"`{c}`" for c in own],
                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
     hit = covered.select(F.col("_id").alias("__id"), F.col("_key").alias("__hit"), "_covered")
     joined = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hit")), "left")
@@ -92,6 +95,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     none = F.array().cast("array<struct<start:int,end:int>>")
     return joined.select(
         *[(cut.alias(c) if c == text_col else F.col(f"`{c}`")) for c in own],
-        F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias("n_lines"),
-        F.coalesce(F.size("_covered"), F.lit(0)).alias("n_removed"),
-        F.coalesce(merged_spans(F.col("_covered")), none).alias("removed"))
+        F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias(added[0]),
+        F.coalesce(F.size("_covered"), F.lit(0)).alias(added[1]),
+        F.coalesce(merged_spans(F.col("_covered")), none).alias(added[2]))

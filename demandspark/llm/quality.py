@@ -169,13 +169,29 @@ def held_out(id_col: Column, modulus: int = HELD_OUT_MODULUS) -> Column:
     return id_bucket(id_col, modulus) == 0
 
 
+def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QuadraticModel:
+    """Fit on the labelled rows of ``features`` (id, x) that are not held out."""
+    truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(
+        F.col("label").isNotNull() & ~held_out(F.col("id")))
+    return fit(features.join(truth, "id"))
+
+
+def keep(df: DataFrame, model: QuadraticModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` with a score of ``threshold`` or more, scored where they are read (no join, no shuffle)."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) of every row; learns from the rows that are not held out."""
     features = written(document_statistics(df, id_col, text_col), "quality-features")
-    truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(
-        F.col("label").isNotNull() & ~held_out(F.col("id")))
-    model = fit(features.join(truth, "id"))
-    out = scored(features, model)
+    out = scored(features, train(features, labels, id_col, label_col))
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))

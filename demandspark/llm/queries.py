@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+    return language.identify_pages(read_table(spark, sf_dir, "pages"),
+                                   read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @_query("op6_byte_bpe")
@@ -127,3 +129,8 @@ def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_maxent_scores")
 def maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
