@@ -37,10 +37,12 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     ``n_chars`` follows the text.
     """
-    out = line_dedup.dedup_lines(docs, prefix="__")
-    out = out.filter("__n_removed < __n_lines or __n_removed = 0")
+    prefix = max(docs.columns, key=len) + "_"
+    out = line_dedup.dedup_lines(docs, prefix=prefix)
+    removed = F.col(f"`{prefix}n_removed`")
+    out = out.filter((removed < F.col(f"`{prefix}n_lines`")) | (removed == 0))
     n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, n_chars).otherwise(F.col("n_chars"))).select(
+    return out.withColumn("n_chars", F.when(removed > 0, n_chars).otherwise(F.col("n_chars"))).select(
         *[f"`{c}`" for c in docs.columns])
 
 

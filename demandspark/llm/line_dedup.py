@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import let
+from demandspark.llm.common import fresh, let
 
 WINDOW = 3
 
@@ -80,21 +80,20 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     added = [f"{prefix}{c}" for c in ("n_lines", "n_removed", "removed")]
     own = [c for c in df.columns if c not in added]
-    covered = covered_lines(df, id_col, text_col, window)
-    keyed = df.select(*[f"`{c}`" for c in own],
-                      F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
-    hit = covered.select(F.col("_id").alias("__id"), F.col("_key").alias("__hit"), "_covered")
-    joined = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hit")), "left")
+    ident, key, lines = (fresh(df, c) for c in ("__ident", "__key", "__covered"))
+    hit = covered_lines(df, id_col, text_col, window).toDF(ident, key, lines)
+    joined = df.join(hit, df[id_col].eqNullSafe(hit[ident]) & (F.xxhash64(df[id_col], df[text_col]) == hit[key]), "left")
+    covered = F.col(lines)
     text = F.col(text_col)
 
     def keep(lines: Column) -> Column:
-        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         return F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
 
-    cut = F.when(F.col("_covered").isNull(), text).otherwise(let(_lines(text), keep))
+    cut = F.when(covered.isNull(), text).otherwise(let(_lines(text), keep))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return joined.select(
         *[(cut.alias(c) if c == text_col else F.col(f"`{c}`")) for c in own],
         F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias(added[0]),
-        F.coalesce(F.size("_covered"), F.lit(0)).alias(added[1]),
-        F.coalesce(merged_spans(F.col("_covered")), none).alias(added[2]))
+        F.coalesce(F.size(covered), F.lit(0)).alias(added[1]),
+        F.coalesce(merged_spans(covered), none).alias(added[2]))
