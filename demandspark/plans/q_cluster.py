@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from demandspark.operators import clean, cluster, neighbors, scale
+from demandspark.plans import api
 from demandspark.plans.common import round_doubles
 from demandspark.plans.registry import query, r4
 from demandspark.sources import fixtures as fx
@@ -86,7 +87,7 @@ def ml3_pca_loadings(spark, sf):
 def ml4_ml5_pca_frame_and_centres(spark, sf):
     data, cols = cluster_input(spark, sf)
     res = scale.pca(data, [f"{c}_z" for c in cols], k=2)
-    fit = cluster.kmeans(data, 6, n_init=2)
+    fit = cluster.kmeans(data, 6, n_init=10)
     labelled = cluster.assign(fit, res.scores, "kmeans_cluster")
     frame = labelled.select("row_id", "pc1", "pc2", "demand", "temperature", "hour", "day_of_week",
                             "kmeans_cluster", F.lit(False).alias("is_centre"))
@@ -105,26 +106,44 @@ def clu1_kmeans(spark, sf):
     return cluster.assign(fit, data, "kmeans_cluster").select("row_id", "kmeans_cluster")
 
 
-_SWEEPS: dict = {}
-
-
-def _sweep(spark, sf):
-    """The K sweep's 13 result rows, computed once per session and input folder."""
-    key = (id(spark), sf)
-    if key not in _SWEEPS:
-        data, _ = cluster_input(spark, sf)
-        _SWEEPS[key] = [tuple(r) for r in cluster.kmeans_sweep(data, range(2, 15), n_init=10, seed=42).collect()]
-    return spark.createDataFrame(_SWEEPS[key], "k int, ssd double, silhouette double")
-
-
 @query("clu2_kmeans_sweep")
 def clu2_kmeans_sweep(spark, sf):
-    return _sweep(spark, sf)
+    data, _ = cluster_input(spark, sf)
+    return cluster.kmeans_sweep(data, range(2, 15), n_init=10, seed=42).withColumnRenamed(
+        "silhouette", "silhouette_squared")
 
 
 @query("clu3_choose_k")
 def clu3_choose_k(spark, sf):
-    return cluster.choose_k(_sweep(spark, sf))
+    data, _ = cluster_input(spark, sf)
+    return cluster.choose_k(cluster.kmeans_sweep(data, range(2, 15), n_init=10, seed=42))
+
+
+@query("clu3_choose_k_rule", DP + """, sweep AS (
+  SELECT CAST(hour(local_time) + 2 AS INTEGER) AS k, avg(demand) AS silhouette FROM demand_panel GROUP BY 1),
+best AS (SELECT k FROM sweep ORDER BY silhouette DESC, k LIMIT 1)
+SELECT best.k AS best_k, least(best.k + 1, (SELECT max(k) FROM sweep)) AS reference_rule_k FROM best""")
+def clu3_choose_k_rule(spark, sf):
+    """The rule on a score per K that SQL can state: the mean demand of each hour stands for the silhouette."""
+    hours = fx.with_calendar(fx.demand_panel(spark, sf)).groupBy((F.col("hour") + 2).cast("int").alias("k"))
+    return cluster.choose_k(hours.agg(F.avg("demand").alias("silhouette")))
+
+
+_CLUSTERED = DP + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS not_nearest, " \
+    "CAST(least(6, count(DISTINCT row_id)) AS BIGINT) AS clusters FROM demand_panel"
+
+
+@query("clu1_labels_are_nearest", _CLUSTERED)
+def clu1_labels_are_nearest(spark, sf):
+    """Every row is labelled, with a centre that no other centre is nearer than, and no cluster is empty."""
+    data, _ = cluster_input(spark, sf)
+    fit = cluster.kmeans(data, 6, n_init=10, seed=42)
+    x = vector_to_array("features")
+    d2 = F.array(*[sum(((x[i] - float(v)) ** 2 for i, v in enumerate(c)), F.lit(0.0)) for c in fit.centres])
+    rows = cluster.assign(fit, data, "label").select("label", d2.alias("d2"))
+    return rows.agg(F.count("label").alias("rows"),
+                    F.count_if(F.get("d2", F.col("label")) > F.array_min("d2")).alias("not_nearest"),
+                    F.count_distinct("label").alias("clusters"))
 
 
 @query("clu7_hierarchical")
@@ -205,29 +224,56 @@ def jn10_eps_neighbour_counts(spark, sf):
     return neighbors.neighbour_counts(_dbscan_points(spark, sf), 0.5, dims=[0, 1], tile_size=1024)
 
 
+def _cluster_points(spark, sf):
+    """All rows with their seven imputed and standardised features."""
+    data, cols = cluster_input(spark, sf)
+    return neighbors.vectorize(data, [f"{c}_z" for c in cols]).select("id", "vec")
+
+
 @query("clu4_dbscan")
 def clu4_dbscan(spark, sf):
-    return neighbors.dbscan(_dbscan_points(spark, sf), eps=0.5, min_samples=20, dims=[0, 1], tile_size=1024)
+    return neighbors.dbscan(_cluster_points(spark, sf), eps=0.5, min_samples=20)
 
 
 @query("clu5_dbscan_summary")
 def clu5_dbscan_summary(spark, sf):
-    labels = neighbors.dbscan(_dbscan_points(spark, sf), eps=0.5, min_samples=20, dims=[0, 1], tile_size=1024)
-    return neighbors.dbscan_summary(labels)
+    return neighbors.dbscan_summary(neighbors.dbscan(_cluster_points(spark, sf), eps=0.5, min_samples=20))
+
+
+# On the embeddings these give about 20 clusters, and border points between two clusters.
+EPS_E, MIN_E = 1.15, 4
+_DBSCAN_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+near AS (SELECT a.id, b.id AS nbr FROM v a, v b WHERE round(power(list_distance(a.vec, b.vec), 2), 9) <= {EPS_E} * {EPS_E}),
+core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= {MIN_E}),
+links AS (SELECT near.id, nbr FROM near JOIN core ON core.id = near.id JOIN core c ON c.id = nbr),
+reach(id, lab) AS (SELECT id, id FROM core UNION SELECT links.nbr, reach.lab FROM reach JOIN links ON links.id = reach.id),
+comp AS (SELECT id, min(lab) AS lab FROM reach GROUP BY id),
+numbered AS (SELECT id, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS BIGINT) AS label FROM comp),
+border AS (SELECT near.id, min(label) AS label FROM near JOIN numbered ON numbered.id = nbr
+           WHERE near.id NOT IN (SELECT id FROM core) GROUP BY near.id),
+labels AS (SELECT v.id, coalesce(numbered.label, border.label, -1) AS label, numbered.id IS NOT NULL AS core
+           FROM v LEFT JOIN numbered ON numbered.id = v.id LEFT JOIN border ON border.id = v.id)
+"""
+
+
+@query("clu4_dbscan_embeddings", _DBSCAN_SQL + "SELECT id, label, core FROM labels")
+def clu4_dbscan_embeddings(spark, sf):
+    return neighbors.dbscan(_emb(spark, sf).select("id", "vec"), eps=EPS_E, min_samples=MIN_E)
+
+
+@query("clu5_dbscan_summary_embeddings", _DBSCAN_SQL + f"""
+SELECT CAST(count(DISTINCT CASE WHEN label <> -1 THEN label END) AS BIGINT) AS clusters,
+       CAST(count(*) FILTER (WHERE label = -1) AS BIGINT) AS noise,
+       {r4("avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) * 100")} AS noise_pct FROM labels""")
+def clu5_dbscan_summary_embeddings(spark, sf):
+    labels = neighbors.dbscan(_emb(spark, sf).select("id", "vec"), eps=EPS_E, min_samples=MIN_E)
+    return round_doubles(neighbors.dbscan_summary(labels))
 
 
 @query("clu11_compare_algorithms")
 def clu11_compare_algorithms(spark, sf):
-    data, _ = cluster_input(spark, sf)
+    data, cols = cluster_input(spark, sf)
     fit = cluster.kmeans(data, 6, n_init=10)
-    km = cluster.assign(fit, data, "label")
-    hier = cluster.hierarchical(data, 5, label="label")
-    rows = [("K-Means", 6, cluster.silhouette_fast(km), 0),
-            ("Hierarchical", 5, cluster.silhouette_fast(hier), 0)]
-    pts = _dbscan_points(spark, sf)
-    db = neighbors.dbscan(pts, 0.5, 20, dims=[0, 1], tile_size=1024)
-    summary = neighbors.dbscan_summary(db).first()
-    scored = pts.join(db, "id")
-    sil = neighbors.silhouette(scored, tile_size=2048, exclude_noise=True).first()["silhouette"]
-    rows.append(("DBSCAN", int(summary["clusters"]), sil, int(summary["noise"])))
-    return cluster.compare_algorithms(rows, spark)
+    points = neighbors.vectorize(cluster.assign(fit, data, "label"), [f"{c}_z" for c in cols]).select("id", "vec", "label")
+    sil = neighbors.silhouette(points).first()["silhouette"]
+    return api.compare_labels(data, points, [f"{c}_z" for c in cols], 6, sil)
