@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from demandspark.functions import scalars as S
 from demandspark.operators import ranking, rollup
+from demandspark.session import cut_lineage
 
 # Columns the min-max step never scales.
 NORMALIZE_EXCLUDE = ("hour", "day_of_week", "month", "year", "day", "is_weekend", "is_peak_hour")
@@ -43,7 +44,7 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, by: str | No
     out = df
     if by and by in df.columns:
         med = ranking.medians(df, cols, by=[by], method=method)
-        out = out.join(med, by, "left").withColumns(
+        out = ranking.join_groups(out, med, [by]).withColumns(
             {c: F.coalesce(F.col(c), F.col(f"{c}_median")) for c in cols}
         ).drop(*[f"{c}_median" for c in cols])
     overall = ranking.first_row(ranking.medians(out, cols, method=method))
@@ -54,11 +55,10 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, by: str | No
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """CLN2: string NULLs -> the column's mode (smallest of the most frequent)."""
     cols = list(cols or rollup.string_columns(df))
-    modes = {}
-    for c in cols:
-        rows = ranking.mode(df, c).collect()  # one row
-        if rows and rows[0][0] is not None:
-            modes[c] = rows[0][0]
+    if not cols:
+        return df
+    long = df.select(*cols).unpivot([], cols, "column", "value")   # all columns in one pass
+    modes = {r["column"]: r["mode"] for r in ranking.mode(long, "value", ["column"], "mode").collect()}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in modes.items()})
 
 
@@ -100,13 +100,14 @@ def handle_anomalies(df: DataFrame, detections: DataFrame, key: str = "row_id",
     hour, day_of_week), else the city median (REP2).  All statistics come from
     the pre-repair frame.
     """
-    flagged = detections.select(key).distinct().withColumn("_flag", F.lit(True))
+    # read by the repair and by the similar-hour means: written once
+    flagged = cut_lineage(detections.select(key).distinct().withColumn("_flag", F.lit(True)))
     cols = [c for c in (*REPAIR_WEATHER, "demand") if c in df.columns]
     if not cols:
         return df
     qs = ranking.first_row(ranking.quantiles_wide(df, cols, [0.01, 0.99], method=method))
     med = ranking.medians(df, cols, by=[city], method=method)
-    out = df.join(flagged, key, "left").join(med, city, "left")
+    out = ranking.join_groups(df.join(flagged, key, "left"), med, [city])
     is_flag = F.coalesce(F.col("_flag"), F.lit(False))
 
     def outside(c):
@@ -119,7 +120,7 @@ def handle_anomalies(df: DataFrame, detections: DataFrame, key: str = "row_id",
         keys = [city, "hour", "day_of_week"]
         similar = (df.join(flagged, key, "left_anti").groupBy(*keys)
                    .agg(F.avg("demand").alias("_similar")))
-        out = out.join(similar, keys, "left")
+        out = ranking.join_groups(out, similar, keys)
         repl["demand"] = F.when(outside("demand"),
                                 F.coalesce(F.col("_similar"), F.col("demand_median"))
                                 ).otherwise(F.col("demand"))

@@ -6,11 +6,11 @@
   in-partition position in its low 33 bits); a table with one row per
   partition -- its size is bounded by the partition count, not by the data --
   turns the counts into offsets and is broadcast back.
-* ``quantiles`` (AGG6/AGG7): exact linear-interpolated quantiles by group.
-  Values are sorted globally by (group, column, value), so a hot group is
-  spread over many range partitions; each group's rows at the two ranks
-  around ``q*(n-1)`` are picked and interpolated.  No task ever holds a whole
-  group, unlike ``percentile()`` whose buffer holds every distinct value.
+* ``quantiles`` (AGG6/AGG7): exact linear-interpolated quantiles by group.  A
+  sketch brackets each rank; one more pass counts what lies below the bracket
+  and ranks the few values inside it.  No task holds a whole group (unlike
+  ``percentile()``, whose buffer holds every distinct value) and the data is
+  neither sorted nor copied.
 * ``mode`` (AGG8): count per (group, value) with partial aggregation, then
   ``min_by`` over (-count, value): the smallest of the most frequent values.
 """
@@ -59,14 +59,33 @@ def to_long(df: DataFrame, by: Sequence[str], cols: Sequence[str],
             .filter(F.col(value).isNotNull()))
 
 
+BROADCAST_GROUPS = 100_000   # group rows, a few numbers each, that are sent to every task
+
+
+def join_groups(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left",
+                broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Bring one row per group back to the rows of the group.
+
+    The statistics are written first (computed once) and counted: up to
+    ``broadcast_groups`` are broadcast, so rows are not shuffled on a key that
+    few groups share.  Beyond that the join shuffles, and the adaptive skew join
+    splits hot groups; the result is the same.
+    """
+    stats = cut_lineage(stats)
+    return df.join(F.broadcast(stats) if stats.count() <= broadcast_groups else stats, list(by), how)
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
               by: Sequence[str] = (), method: str = "exact",
               accuracy: int = 10000) -> DataFrame:
     """Long result (by..., column, q, value): linear-interpolated quantiles over non-NULLs.
 
-    ``method='exact'`` is the distributed sort-and-rank described above;
-    ``method='approx'`` uses ``percentile_approx`` (bounded sketch) for very
-    large inputs where an exact answer is not needed.
+    ``method='exact'`` first brackets each quantile by two values of a sketch
+    whose rank error is at most n / ``accuracy``, then counts the rows below the
+    bracket and the distinct values inside it, about 8 n / ``accuracy`` rows (all
+    of a group of up to ``accuracy`` rows), which are ranked by their counts: two
+    passes with partial aggregation, no sort and no copy of the data.  ``method='approx'`` returns the sketch's
+    values, for inputs where an exact answer is not needed.
     """
     by = list(by)
     qs = [float(q) for q in qs]
@@ -78,28 +97,34 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
                 .withColumn("q", F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_i") + 1))
                 .drop("_i"))
     keys = by + ["column"]
-    ranked = global_row_index(long, [*keys, "value"], "_g")
-    starts = ranked.groupBy(*keys).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(starts, keys).withColumn("_r", F.col("_g") - F.col("_start"))
-    q_arr = F.array(*[F.lit(q) for q in qs])
-    pos = lambda q: q * (F.col("_n") - 1)
-    wanted = F.exists(q_arr, lambda q: (F.col("_r") == F.floor(pos(q))) | (F.col("_r") == F.ceil(pos(q))))
-    picked = ranked.filter(wanted)
-    aggs = []
-    for i, q in enumerate(qs):
-        p = F.lit(q) * (F.col("_n") - 1)
-        aggs.append(F.max(F.when(F.col("_r") == F.floor(p), F.col("value"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_r") == F.ceil(p), F.col("value"))).alias(f"_hi{i}"))
-    aggs.append(F.max("_n").alias("_n"))
-    per_group = picked.groupBy(*keys).agg(*aggs)
-    rows = []
-    for i, q in enumerate(qs):
-        p = F.lit(q) * (F.col("_n") - 1)
-        frac = p - F.floor(p)
-        rows.append(F.struct(F.lit(q).alias("q"),
-                             (F.col(f"_lo{i}") + frac * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias("value")))
-    return (per_group.select(*keys, F.explode(F.array(*rows)).alias("_qv"))
-            .select(*keys, "_qv.q", "_qv.value"))
+    margin = 4.0 / accuracy   # the sketch's error and the ranks next to the quantile's place
+    ends = [p for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"),
+                                     F.max("value").alias("_max"),
+                                     F.percentile_approx("value", ends, accuracy).alias("_ends"))
+    few = F.col("_n") <= accuracy
+    spans = [F.struct(F.lit(q).alias("q"),
+                      F.when(few | F.lit(ends[2 * i] <= 0), F.col("_min")).otherwise(F.col("_ends")[2 * i]).alias("lo"),
+                      F.when(few | F.lit(ends[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1]).alias("hi"))
+             for i, q in enumerate(qs)]
+    sketch = sketch.select(*keys, "_n", F.array(*spans).alias("_spans"))
+    # below a bracket the value is dropped: those rows add up to one count per task
+    hit = F.filter("_spans", lambda s: F.col("value") <= s["hi"])
+    seen = join_groups(long, sketch, keys, "inner").select(
+        *keys, "_n", F.explode(F.transform(hit, lambda s: F.struct(
+            s["q"].alias("q"), F.when(F.col("value") >= s["lo"], F.col("value")).alias("value")))).alias("_h"))
+    counts = seen.groupBy(*keys, F.col("_h.q").alias("q"), F.col("_h.value").alias("value")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    w = Window.partitionBy(*keys, "q").orderBy(F.col("value").asc_nulls_first())
+    counts = counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pos = F.col("q") * (F.col("_n") - 1)
+    at = lambda rank: F.min(F.when(F.col("value").isNotNull() & (F.col("_cum") > rank), F.col("value")))
+    found = counts.groupBy(*keys, "q").agg(
+        at(F.floor(pos)).alias("_lo"), at(F.ceil(pos)).alias("_hi"), F.max(pos - F.floor(pos)).alias("_frac"),
+        F.max(F.when(F.col("value").isNull(), F.col("_c") > F.floor(pos)).otherwise(F.lit(False))).alias("_missed"))
+    value = F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))
+    return found.select(*keys, "q", F.when(F.col("_missed") | F.col("_hi").isNull(), F.raise_error(
+        F.lit("the sketch's bracket misses the quantile"))).otherwise(value).cast("double").alias("value"))
 
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], qs: Sequence[float],

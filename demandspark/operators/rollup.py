@@ -96,16 +96,25 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
 
 def describe_grouping_sets(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """AGG4 in one pass: count/mean/std/min/max of ``value`` for each key separately."""
-    sets = ", ".join(f"({k})" for k in keys)
-    view = f"_describe_{abs(hash((value, tuple(keys))))}"
-    df.createOrReplaceTempView(view)
-    key_name = " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in keys)
-    key_val = " ".join(f"WHEN grouping({k}) = 0 THEN CAST({k} AS STRING)" for k in keys)
-    return df.sparkSession.sql(f"""
-        SELECT CASE {key_name} END AS group_by, CASE {key_val} END AS group_value,
-               count({value}) AS count, avg({value}) AS mean, stddev_samp({value}) AS std,
-               min({value}) AS min, max({value}) AS max
-        FROM {view} GROUP BY GROUPING SETS ({sets})""")
+    name, shown = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in reversed(list(keys)):
+        name = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(name)
+        shown = F.when(F.grouping(k) == 0, F.col(k).cast("string")).otherwise(shown)
+    out = df.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+        name.alias("group_by"), shown.alias("group_value"), F.count(value).alias("count"), F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return out.select("group_by", "group_value", "count", "mean", "std", "min", "max")
+
+
+def describe_by_each(df: DataFrame, value: str, keys: Sequence[str], method: str = "exact") -> DataFrame:
+    """AGG4 with quartiles: ``describe`` of ``value`` for each key separately, in one long table."""
+    out = None
+    for k in keys:
+        part = describe(df, [value], [k], method)
+        part = part.select(F.lit(k).alias("group_by"), F.col(k).cast("string").alias("group_value"),
+                           *[c for c in part.columns if c not in (k, "column")])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

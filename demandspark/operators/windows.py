@@ -114,7 +114,7 @@ def group_zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None =
     aggs = [e for c in cols for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]
     if by:
         stats = df.groupBy(*by).agg(*aggs)
-        out = df.join(stats, by, "left")
+        out = attach_group_stat(df, stats, by)
     else:
         lit = ranking.first_row(df.agg(*aggs))
         out = df.withColumns({k: F.lit(v).cast("double") for k, v in lit.items()})
@@ -123,17 +123,19 @@ def group_zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None =
     return out.drop(*[f"_{k}_{c}" for c in cols for k in ("m", "s")])
 
 
-def attach_group_stat(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """WIN5/JN5: a per-group statistic broadcast back to every row of the group."""
-    return df.join(stats, list(by), "left")
+def attach_group_stat(df: DataFrame, stats: DataFrame, by: Sequence[str],
+                      broadcast_groups: int = ranking.BROADCAST_GROUPS) -> DataFrame:
+    """WIN5/JN5: a per-group statistic brought back to every row of the group."""
+    return ranking.join_groups(df, stats, by, "left", broadcast_groups)
 
 
 def daily_pct_change(df: DataFrame, value: str = "demand", by: str = "city",
-                     ts: str = "local_time", cross_city: bool = False) -> DataFrame:
+                     ts: str = "local_time", cross_city: bool = False, keep_previous: bool = False) -> DataFrame:
     """WIN6: daily mean and its change against the previous day of the same city.
 
     ``cross_city=True`` reproduces the reference's single sorted series: a
     city's first day is compared with the previous city's last day.
+    ``keep_previous`` keeps the mean compared with, as ``previous_mean``.
     """
     daily = df.groupBy(by, S.date_part(ts).alias("date")).agg(F.avg(value).alias(f"{value}_mean"))
     m = F.col(f"{value}_mean")
@@ -146,5 +148,5 @@ def daily_pct_change(df: DataFrame, value: str = "demand", by: str = "city",
         daily = (daily.join(last, by, "left")
                  .withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_prev_city_last")))
                  .drop("_prev_city_last"))
-    return (daily.withColumn(f"{value}_pct_change", S.safe_div(m - F.col("_prev"), F.col("_prev")))
-            .drop("_prev"))
+    daily = daily.withColumn(f"{value}_pct_change", S.safe_div(m - F.col("_prev"), F.col("_prev")))
+    return daily.withColumnRenamed("_prev", "previous_mean") if keep_previous else daily.drop("_prev")
