@@ -40,18 +40,31 @@ def range_violation(col: str, lo: float | None, hi: float | None):
 
 def range_anomalies(df: DataFrame, key: str = "row_id") -> DataFrame:
     """ANO1: rows outside physical limits, as (row_id, detector)."""
-    parts = [df.filter(range_violation(c, lo, hi)).select(key, F.lit(f"range_{c}").alias("detector"))
-             for c, lo, hi in RANGE_RULES if c in df.columns]
-    return _union(parts, key)
+    return _flagged(df, range_flags(df), key)
 
 
 def zscore_anomalies(df: DataFrame, cols: Sequence[str] = ZSCORE_COLUMNS, by: str | None = "city",
                      threshold: float = ZSCORE_THRESHOLD, key: str = "row_id") -> DataFrame:
     """ANO2: rows whose group z-score exceeds ``threshold``."""
     z = windows.group_zscore(df, cols, [by] if by else None)
-    parts = [z.filter(F.col(f"{c}_zscore") > threshold).select(key, F.lit(f"zscore_{c}").alias("detector"))
-             for c in cols if c in df.columns]
-    return _union(parts, key)
+    return _flagged(z, zscore_flags(z, cols, threshold), key)
+
+
+def range_flags(df: DataFrame) -> dict:
+    """Detector name -> condition of every range rule whose column is present."""
+    return {f"range_{c}": range_violation(c, lo, hi) for c, lo, hi in RANGE_RULES if c in df.columns}
+
+
+def zscore_flags(z: DataFrame, cols: Sequence[str], threshold: float) -> dict:
+    return {f"zscore_{c}": F.col(f"{c}_zscore") > threshold for c in cols if f"{c}_zscore" in z.columns}
+
+
+def _flagged(df: DataFrame, flags: dict, key: str) -> DataFrame:
+    """(key, detector) rows of all true flags, in one pass over ``df``."""
+    if not flags:
+        raise ValueError("no detector applies to this frame")
+    names = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in flags.items()]), lambda x: x.isNotNull())
+    return df.select(key, F.explode(names).alias("detector"))
 
 
 def spike_days(df: DataFrame, value: str = "demand", by: str = "city", ts: str = "local_time",
@@ -61,16 +74,10 @@ def spike_days(df: DataFrame, value: str = "demand", by: str = "city", ts: str =
     A zero previous mean counts as a spike when the day's mean is not zero
     (the reference's division gives +-inf there).
     """
-    d = windows.daily_pct_change(df, value, by, ts, cross_city)
+    d = windows.daily_pct_change(df, value, by, ts, cross_city, keep_previous=True)
     pct = F.col(f"{value}_pct_change")
-    if cross_city:
-        prev_zero = F.lit(False)
-    else:
-        prev = F.lag(f"{value}_mean", 1).over(windows.Window.partitionBy(by).orderBy("date"))
-        d = d.withColumn("_prev", prev)
-        prev_zero = (F.col("_prev") == 0) & (F.col(f"{value}_mean") != 0)
-    out = d.filter((pct > threshold) | (pct < -threshold) | prev_zero)
-    return out.drop("_prev") if "_prev" in out.columns else out
+    prev_zero = (F.col("previous_mean") == 0) & (F.col(f"{value}_mean") != 0)
+    return d.filter((pct > threshold) | (pct < -threshold) | prev_zero).drop("previous_mean")
 
 
 def spike_anomalies(df: DataFrame, value: str = "demand", by: str = "city", ts: str = "local_time",
@@ -89,13 +96,21 @@ def combine(detections: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
 
 def detect_anomalies(df: DataFrame, include_forest: bool = False, key: str = "row_id",
                      cross_city: bool = False, **forest_args) -> DataFrame:
-    """ANO5: long (row_id, detector) table of all detectors."""
-    parts = [range_anomalies(df, key), zscore_anomalies(df, key=key),
-             spike_anomalies(df, key=key, cross_city=cross_city)]
+    """ANO5: long (row_id, detector) table of all detectors.
+
+    Range rules, z-scores and spike days are flags of one pass over the rows;
+    the city statistics and the spike days are small tables joined to it.  A
+    (row, detector) pair occurs once when ``key`` is unique.
+    """
+    z = windows.group_zscore(df, ZSCORE_COLUMNS, ["city"])
+    days = spike_days(df, cross_city=cross_city).select("city", "date", F.lit(True).alias("_spike"))
+    z = windows.attach_group_stat(z.withColumn("date", S.date_part("local_time")), days, ["city", "date"])
+    flags = {**range_flags(df), **zscore_flags(z, ZSCORE_COLUMNS, ZSCORE_THRESHOLD), "spike": F.col("_spike")}
+    rows = _flagged(z, flags, key)
     if include_forest:
         from demandspark.operators import iforest
-        parts.append(iforest.forest_anomalies(df, key=key, **forest_args))
-    return combine(parts, key)
+        rows = rows.unionByName(iforest.forest_anomalies(df, key=key, **forest_args))
+    return rows
 
 
 def anomaly_rows(df: DataFrame, detections: DataFrame, key: str = "row_id") -> DataFrame:

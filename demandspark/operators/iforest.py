@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandspark.operators import ranking
+from demandspark.session import cut_lineage
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long"
 FEATURES = ("demand", "temperature", "humidity", "windSpeed")
@@ -74,9 +75,9 @@ def fit(df: DataFrame, cols: Sequence[str] = FEATURES, n_trees: int = 100, max_s
     n = data.count()
     psi = int(min(max_samples, n))
     frac = min(1.0, 1.2 * psi / max(n, 1) + 50.0 / max(n, 1))
-    limit = int(frac * 2 ** 63)
+    limit = min(int(frac * 2 ** 63), 2 ** 63 - 1)
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.abs(F.xxhash64(F.col(key), t, F.lit(seed))) < F.lit(limit))
+                     lambda t: F.xxhash64(F.col(key), t, F.lit(seed)).bitwiseAND(F.lit(2 ** 63 - 1)) <= F.lit(limit))
     member = data.select("*", F.explode(trees).alias("tree"))
     member = member.withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
     member = member.withColumn("_rk", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
@@ -103,7 +104,8 @@ def score(df: DataFrame, forest: DataFrame, cols: Sequence[str] = FEATURES, max_
     nodes = forest.orderBy("tree", "node").collect()  # bounded: n_trees x (2 x max_samples) rows
     by_tree: dict[int, np.ndarray] = {}
     for r in nodes:
-        by_tree.setdefault(r["tree"], []).append((r["feature"], r["threshold"], r["left"], r["right"], r["size"]))
+        by_tree.setdefault(r["tree"], []).append((r["feature"], r["threshold"], r["left"], r["right"], r["size"],
+                                                  _c(r["size"])))  # a leaf's correction, looked up per row
     packed = {t: np.array(v, dtype=np.float64) for t, v in by_tree.items()}
     bc = df.sparkSession.sparkContext.broadcast(packed)
     n_sample = max(2, min(max_samples, int(max(v[0, 4] for v in packed.values()))))
@@ -125,7 +127,7 @@ def score(df: DataFrame, forest: DataFrame, cols: Sequence[str] = FEATURES, max_
                     node[active] = np.where(go_left, tree[node[active], 2], tree[node[active], 3]).astype(np.int64)
                     depth[active] += 1
                     active = tree[node, 0] >= 0
-                total += depth + np.array([_c(s) for s in tree[node, 4]])
+                total += depth + tree[node, 5]
             mean = total / len(forest_)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "score": np.power(2.0, -mean / cn)})
 
@@ -139,7 +141,8 @@ def forest_anomalies(df: DataFrame, cols: Sequence[str] = FEATURES, contaminatio
     """ANO3 as a detector: (row_id, 'isolation_forest') for the ``contamination`` share of
     rows with the highest scores."""
     cols = [c for c in cols if c in df.columns]
-    scores = score(df, fit(df, cols, n_trees, max_samples, seed, key), cols, max_samples, key).persist()
+    # read by the quantile and by the filter; written once, so that no cache outlives the call
+    scores = cut_lineage(score(df, fit(df, cols, n_trees, max_samples, seed, key), cols, max_samples, key))
     cut = ranking.first_row(ranking.quantiles_wide(scores, ["score"], [1.0 - contamination],
                                                    fmt="cut"))["cut"]
     return scores.filter(F.col("score") > F.lit(cut)).select(key, F.lit("isolation_forest").alias("detector"))
