@@ -31,11 +31,14 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def prepare_features(df: DataFrame, city: str | None = None, horizon: int = 24,
-                     by: Sequence[str] = ("city",), chunk_rows: int = windows.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                     by: Sequence[str] = ("city",), chunk_rows: int = windows.DEFAULT_CHUNK_ROWS,
+                     keep_unknown: bool = False) -> DataFrame:
     """FC1: FLT1 -> lags + rolling means -> drop incomplete rows -> target ``horizon`` rows ahead.
 
     The target is taken on the frame *after* the incomplete rows are dropped, as
-    the reference does, so it is ``horizon`` complete rows ahead.
+    the reference does, so it is ``horizon`` complete rows ahead.  The newest
+    ``horizon`` rows have no target; ``keep_unknown`` keeps them, with a NULL
+    target, for forecasts of hours that have not happened yet.
     """
     data = reshape.filter_city(df, city)
     keep = [c for c in ("row_id", *by, "local_time", "demand", *WEATHER_FEATURES, *TEMPORAL_FEATURES)
@@ -44,7 +47,7 @@ def prepare_features(df: DataFrame, city: str | None = None, horizon: int = 24,
     feats = windows.lags_and_rolling(data, "demand", by, ORDER, LAGS, ROLLING, chunk_rows)
     feats = feats.na.drop(subset=[c for c in feats.columns if c not in by])
     out = windows.lead_target(feats, "demand", horizon, by, ORDER, TARGET, chunk_rows)
-    return out.filter(F.col(TARGET).isNotNull())
+    return out if keep_unknown else out.filter(F.col(TARGET).isNotNull())
 
 
 def time_split(df: DataFrame, test_size: float = 0.2, order: Sequence[str] = ORDER) -> DataFrame:

@@ -23,10 +23,15 @@ from demandspark.operators import forecast as fc
 from demandspark.operators import ranking, reshape, scale
 
 # The reference's hyper-parameter grids (None depth -> MLlib's maximum, 30).
-RF_GRID = {"numTrees": [50, 100], "maxDepth": [None, 10, 20], "minInstancesPerNode": [2, 5]}
-GBT_GRID = {"maxIter": [50, 100], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}
-BOOST_GRID = {"maxIter": [50, 100], "stepSize": [0.05, 0.1], "maxDepth": [3, 5],
+# A split needs twice ``minInstancesPerNode`` rows: 1, 3 and 5 stand for at least 2, 5 (6) and 10 rows.
+RF_GRID = {"numTrees": [50, 100], "maxDepth": [10, 20, None], "minInstancesPerNode": [1, 3, 5]}
+GBT_GRID = {"maxIter": [50, 100], "stepSize": [0.01, 0.1], "maxDepth": [3, 5]}
+BOOST_GRID = {"maxIter": [50, 100], "stepSize": [0.01, 0.1], "maxDepth": [3, 5],
               "subsamplingRate": [0.8, 1.0]}
+# What the endpoint fits when no saved model is found.
+ENDPOINT_PARAMS = {"linear": {}, "random_forest": {"numTrees": 50, "maxDepth": 10},
+                   "gradient_boosting": {"maxIter": 50, "stepSize": 0.1, "maxDepth": 3},
+                   "boosted_subsampled": {"maxIter": 50, "stepSize": 0.1, "maxDepth": 6}}
 MODEL_TYPES = ("baseline", "linear", "random_forest", "gradient_boosting", "boosted_subsampled",
                "seasonal_ar", "ensemble_average", "ensemble_stack", "all")
 
@@ -185,10 +190,7 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
     for p in preds.values():
         all_preds = p if all_preds is None else all_preds.unionByName(p)
     if save_dir:
-        for kind, model in fitted.items():
-            save_model(model, f"{save_dir.rstrip('/')}/{kind}")
-        spark.createDataFrame([(scaler.to_json(),)], "scaler string").write.mode("overwrite").json(
-            f"{save_dir.rstrip('/')}/scaler")
+        save_run(fitted, scaler, save_dir, spark)
     status_df = spark.createDataFrame(status or [("none", "ok", "")], "model string, status string, detail string")
     return ForecastRun(all_preds, fc.metrics(all_preds), status_df, fitted, scaler)
 
@@ -202,3 +204,17 @@ def save_model(model: PipelineModel, path: str) -> str:
 def load_model(path: str) -> PipelineModel:
     """SNK4: reload a saved pipeline."""
     return PipelineModel.load(path)
+
+
+def save_run(fitted: Mapping[str, PipelineModel], scaler: scale.ScalerModel, path: str, spark) -> None:
+    """SNK4: every fitted model and the scaler that its features went through."""
+    for kind, model in fitted.items():
+        save_model(model, f"{path.rstrip('/')}/{kind}")
+    spark.createDataFrame([(scaler.to_json(),)], "scaler string").write.mode("overwrite").json(
+        f"{path.rstrip('/')}/scaler")
+
+
+def load_run(spark, path: str, kind: str) -> tuple[PipelineModel, scale.ScalerModel]:
+    """SNK4: a saved model with its scaler, so that a reload predicts as the saved run did."""
+    text = spark.read.schema("scaler string").json(f"{path.rstrip('/')}/scaler").first()["scaler"]
+    return load_model(f"{path.rstrip('/')}/{kind}"), scale.ScalerModel.from_json(text)

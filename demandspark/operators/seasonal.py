@@ -123,7 +123,8 @@ def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", va
 
     The recursion is linear, so the forecast ``k`` steps ahead is a row of
     ``M^k z`` (``M`` the 75 x 75 state map, ``z`` the tail state).  Each city's
-    (M, z) is one small row built from its 25-row tail; the test rows are then
+    six coefficients and z are one small row built from its 25-row tail; tasks
+    rebuild M.  A city with a shorter tail has no row.  The test rows are
     scored in parallel batches: within a batch, rows are sorted by step, the
     first power comes from repeated squaring and later ones from one
     matrix-vector product per step.  No task walks a whole city's horizon.
@@ -135,15 +136,14 @@ def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", va
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ascending=False)  # newest first = lag order
         if len(pdf) < tail_n:
-            return pd.DataFrame({by: pd.Series(dtype=object), "m": pd.Series(dtype=object),
+            return pd.DataFrame({by: pd.Series(dtype=object), "c": pd.Series(dtype=object),
                                  "z": pd.Series(dtype=object)})
         z = np.concatenate([np.nan_to_num(pdf["w"].to_numpy(dtype=float)),
                             np.nan_to_num(pdf["e"].to_numpy(dtype=float)),
                             pdf[value].to_numpy(dtype=float)])
-        m = _transition(pdf["coef"].iloc[0])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "m": [m.ravel().tolist()], "z": [z.tolist()]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "c": [list(pdf["coef"].iloc[0])], "z": [z.tolist()]})
 
-    models = state.groupBy(by).applyInPandas(build, f"{by} string, m array<double>, z array<double>")
+    models = state.groupBy(by).applyInPandas(build, f"{by} string, c array<double>, z array<double>")
     steps = (test if test is not None else resid.filter(~F.col("is_train")))
     steps = steps.select(by, "pos", (F.col("pos") - F.col("n_train") + 1).alias("_k")).join(models, by)
 
@@ -155,7 +155,7 @@ def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", va
             preds = np.empty(len(pdf))
             for _, idx in pdf.groupby(by, sort=False).indices.items():
                 rows = pdf.iloc[idx]
-                m = np.asarray(rows["m"].iloc[0]).reshape(_DIM, _DIM)
+                m = _transition(rows["c"].iloc[0])
                 z = np.asarray(rows["z"].iloc[0], dtype=float)
                 ks = rows["_k"].to_numpy()
                 cur_k, v = 0, z
@@ -172,11 +172,15 @@ def seasonal_ar_forecast(resid: DataFrame, coef: DataFrame, by: str = "city", va
 
 def seasonal_ar_predictions(series: DataFrame, by: str = "city", value: str = "demand",
                             train_share: float = 0.8) -> DataFrame:
-    """FC11: (row_id, model, actual, prediction) over every city's test span."""
+    """FC11: (row_id, model, actual, prediction) over every city's test span.
+
+    A city with fewer than 25 training rows cannot be forecast: its rows come
+    back with a NULL prediction.
+    """
     resid, coef = seasonal_ar_fit(series, by, value=value, train_share=train_share)
     test = resid.filter(~F.col("is_train"))
     fc = seasonal_ar_forecast(resid, coef, by, value, test)
-    return (test.select("row_id", by, "pos", F.col(value).alias("actual")).join(fc, [by, "pos"])
+    return (test.select("row_id", by, "pos", F.col(value).alias("actual")).join(fc, [by, "pos"], "left")
             .select("row_id", F.lit("seasonal_ar").alias("model"), "actual", "prediction"))
 
 

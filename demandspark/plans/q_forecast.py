@@ -181,8 +181,7 @@ def fc10_boosted_subsampled(spark, sf):
 @query("fc4_grid_search")
 def fc4_grid_search(spark, sf):
     train, test, feats = _train_test_scaled(spark, sf)
-    model, best = models.grid_search("gradient_boosting", train, feats,
-                                     {"maxIter": [20, 50], "stepSize": [0.1], "maxDepth": [3]})
+    model, best = models.grid_search("gradient_boosting", train, feats, models.GBT_GRID)
     return fc.metrics(models.predict(model, test, "gradient_boosting")).withColumn("best_params", F.lit(str(best)))
 
 
@@ -196,7 +195,7 @@ def fc11_seasonal_ar(spark, sf):
 def fc13_ensemble_stack(spark, sf):
     train, test, feats = _train_test_scaled(spark, sf)
     lin = models.pipeline("linear", feats).fit(train)
-    gbt = models.pipeline("gradient_boosting", feats, {"maxIter": 20, "maxDepth": 3}).fit(train)
+    gbt = models.pipeline("gradient_boosting", feats, {"maxIter": 50, "stepSize": 0.1, "maxDepth": 3}).fit(train)
     tr = [models.predict(lin, train, "linear"), models.predict(gbt, train, "gbt")]
     te = [models.predict(lin, test, "linear"), models.predict(gbt, test, "gbt")]
     return models.ensemble_stack(tr, te)
@@ -204,9 +203,7 @@ def fc13_ensemble_stack(spark, sf):
 
 @query("fc14_run_forecast")
 def fc14_run_forecast(spark, sf):
-    run = models.run_forecast(forecast_panel(spark, sf), city="view",
-                              model_types=("linear", "gradient_boosting"),
-                              grids={"gradient_boosting": {"maxIter": [20], "stepSize": [0.1], "maxDepth": [3]}})
+    run = models.run_forecast(forecast_panel(spark, sf), city="view")
     return run.metrics.join(run.status, "model", "left")
 
 

@@ -95,11 +95,20 @@ def weather_output_schema() -> T.StructType:
                         + [T.StructField(k, T.DoubleType()) for k in WEATHER_KEYS])
 
 
-def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC4: processed table; ``local_time`` cast to timestamp, ``demand`` required."""
-    df = (spark.read.parquet(path) if fmt == "parquet"
-          else spark.read.option("header", True).option("inferSchema", False).csv(path))
-    # CSV columns arrive as strings; the timestamp is parsed tolerantly below
+def read_processed(spark: SparkSession, path: str, fmt: str = "parquet",
+                   schema: T.StructType | None = None) -> DataFrame:
+    """SRC4: processed table; ``local_time`` cast to timestamp, ``demand`` required.
+
+    A CSV is read with ``schema``, or else with its number columns inferred (one
+    more pass); time columns stay text until the tolerant parse below.
+    """
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        reader = spark.read.option("header", True)
+        df = (reader.schema(schema) if schema else
+              reader.option("inferSchema", True).option("prefersDate", False)
+              .option("timestampFormat", "'none'").option("timestampNTZFormat", "'none'")).csv(path)
     if "demand" not in df.columns:
         raise ValueError("processed table has no 'demand' column")
     if "local_time" in df.columns and df.schema["local_time"].dataType != T.TimestampNTZType():
