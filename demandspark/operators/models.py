@@ -63,31 +63,48 @@ def grid(values: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(keys, combo)) for combo in itertools.product(*[values[k] for k in keys])]
 
 
+ROWS_PER_TASK = 100_000   # training rows of one task; small folds are not scattered over many
+
+
 def grid_search(kind: str, train: DataFrame, features: Sequence[str], param_grid: Mapping[str, Sequence],
                 n_splits: int = 3, parallel: int = 4, seed: int = 42) -> tuple[PipelineModel, dict]:
     """FC4: lowest mean squared error over expanding time folds, then refit on all of train.
 
     ``train`` must carry a 0-based ``position`` in time order.  Candidate fits
-    run as concurrent Spark jobs.
+    run as concurrent Spark jobs.  Boosted candidates that differ only in the
+    number of rounds share one fit, whose error is read after each round.
     """
-    folds = fc.time_series_folds(train, n_splits).persist()
+    folds = fc.time_series_folds(train, n_splits)
+    tasks = -(-train.count() * n_splits // ROWS_PER_TASK)
+    folds = folds.coalesce(max(1, tasks)).persist()
     candidates = grid(param_grid)
-
-    def score(params: dict) -> float:
-        errs = []
-        for i in range(n_splits):
-            tr = folds.filter((F.col("fold") == i) & (F.col("role") == "train"))
-            te = folds.filter((F.col("fold") == i) & (F.col("role") == "test"))
-            model = pipeline(kind, features, params, seed).fit(tr)
-            p = model.transform(te)
-            errs.append(p.agg(F.avg((F.col(fc.TARGET) - F.col("prediction")) ** 2)).first()[0])
-        return sum(errs) / len(errs)
+    boosted = kind in ("gradient_boosting", "boosted_subsampled")
+    shared: dict[tuple, list[int]] = {}
+    for i, c in enumerate(candidates):
+        shared.setdefault(tuple((k, v) for k, v in c.items() if not (boosted and k == "maxIter")) or (i,), []).append(i)
+
+    def errors(params: dict, rounds: Sequence[int], fold: int) -> list[float]:
+        """Mean squared test error of one fold, after each of ``rounds`` if the model is boosted."""
+        tr = folds.filter((F.col("fold") == fold) & (F.col("role") == "train"))
+        te = folds.filter((F.col("fold") == fold) & (F.col("role") == "test"))
+        model = pipeline(kind, features, params, seed).fit(tr)
+        if rounds:
+            each = model.stages[-1].evaluateEachIteration(model.stages[0].transform(te), "squared")
+            return [each[r - 1] for r in rounds]
+        return [model.transform(te).agg(F.avg((F.col(fc.TARGET) - F.col("prediction")) ** 2)).first()[0]]
+
+    def score(group: list[int]) -> list[float]:
+        rounds = [candidates[i]["maxIter"] for i in group if "maxIter" in candidates[i]] if boosted else []
+        params = {**candidates[group[0]], **({"maxIter": max(rounds)} if rounds else {})}
+        each = [errors(params, rounds, i) for i in range(n_splits)]
+        return [sum(e) / n_splits for e in zip(*each)]
 
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(candidates)))) as pool:
-            scores = list(pool.map(score, candidates))
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(shared)))) as pool:
+            found = list(pool.map(score, shared.values()))
     finally:
         folds.unpersist()
+    scores = {i: s for group, ss in zip(shared.values(), found) for i, s in zip(group, ss)}
     best = min(range(len(candidates)), key=lambda i: (scores[i], i))
     return pipeline(kind, features, candidates[best], seed).fit(train), candidates[best]
 
@@ -109,9 +126,25 @@ def ensemble_average(preds: Sequence[DataFrame], name: str = "ensemble_average")
     return wide.select("row_id", F.lit(name).alias("model"), "actual", mean.alias("prediction"))
 
 
+def out_of_fold(kind: str, train: DataFrame, features: Sequence[str], params: Mapping | None = None,
+                n_splits: int = 3, seed: int = 42, name: str | None = None) -> DataFrame:
+    """FC13 ``oof``: predictions of the later folds by models that saw only earlier rows."""
+    folds = fc.time_series_folds(train, n_splits)
+    out = None
+    for i in range(n_splits):
+        model = pipeline(kind, features, params, seed).fit(folds.filter((F.col("fold") == i) & (F.col("role") == "train")))
+        part = predict(model, folds.filter((F.col("fold") == i) & (F.col("role") == "test")), name or kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ensemble_stack(train_preds: Sequence[DataFrame], test_preds: Sequence[DataFrame], alpha: float = 1.0,
                    name: str = "ensemble_stack") -> DataFrame:
-    """FC13: ridge (``alpha``) over base predictions, fitted on the training predictions."""
+    """FC13: ridge (``alpha``) over base predictions, fitted on the training predictions.
+
+    The reference fits it on in-sample predictions; pass ``out_of_fold`` frames
+    as ``train_preds`` for a meta-model that has not seen its inputs' targets.
+    """
     tr, te = _wide(train_preds), _wide(test_preds)
     cols = [f"_p{i}" for i in range(len(train_preds))]
     reg = ridge_reg_param(alpha, tr, "actual")
@@ -142,10 +175,11 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
                  model_types: Sequence[str] = ("linear", "random_forest", "gradient_boosting",
                                                "boosted_subsampled"),
                  grids: Mapping[str, Mapping] | None = None, seasonal: bool = True,
-                 n_splits: int = 3, save_dir: str | None = None) -> ForecastRun:
+                 n_splits: int = 3, save_dir: str | None = None, oof: bool = False) -> ForecastRun:
     """FC14: features -> time split -> scaler fitted on train -> baseline -> models ->
     seasonal AR for one city -> ensembles -> metrics.  A model that fails is
-    reported in ``status`` and the rest go on."""
+    reported in ``status`` and the rest go on.  ``oof`` stacks on out-of-fold
+    instead of in-sample predictions (Q24)."""
     from demandspark.operators import seasonal as sar
     spark = df.sparkSession
     grids = dict(grids or {"random_forest": RF_GRID, "gradient_boosting": GBT_GRID,
@@ -160,17 +194,19 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
     train = scaled.filter("is_train").persist()
     test = scaled.filter(~F.col("is_train")).persist()
     preds = {"baseline": fc.baseline_lag24(test)}
-    train_preds, status, fitted = {}, [], {}
+    train_preds, status, fitted, chosen = {}, [], {}, {}
     for kind in model_types:
         try:
             if kind == "linear":
                 model = pipeline(kind, sfeatures).fit(train)
             else:
                 model, best = grid_search(kind, train, sfeatures, grids[kind], n_splits)
+                chosen[kind] = best
                 status.append((kind, "ok", str(best)))
             fitted[kind] = model
             preds[kind] = predict(model, test, kind)
-            train_preds[kind] = predict(model, train, kind)
+            train_preds[kind] = (out_of_fold(kind, train, sfeatures, chosen.get(kind), n_splits) if oof
+                                 else predict(model, train, kind))
             if kind == "linear":
                 status.append((kind, "ok", ""))
         except Exception as e:  # noqa: BLE001 -- a failing model must not stop the others

@@ -33,4 +33,4 @@ def r4(expr: str) -> str:
 def load_all() -> None:
     """Import every query module so that its queries register."""
     from demandspark.plans import (  # noqa: F401
-        q_prepare, q_stats, q_clean, q_profile, q_cluster, q_forecast, q_api)
+        q_prepare, q_stats, q_clean, q_profile, q_cluster, q_forecast, q_api, q_props)

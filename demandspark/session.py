@@ -44,7 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local["):  # executors elsewhere would not see the driver's disk
+    if sc.master != "local" and not sc.master.startswith("local["):  # executors elsewhere would not see the driver's disk
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="demandspark-ckpt-")  # tests only: no cluster setting
     sc.setCheckpointDir(local)
