@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from demandspark.llm.common import written
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000        # pieces packed by one task
-CACHED_WORDS = 400_000     # words a worker remembers; the cache is emptied when it is full
+CACHED_WORDS = 1_200_000   # words a worker remembers; the cache is emptied when it is full
 MAX_VOCABULARY_BYTES = 64_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,6 +58,9 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -65,13 +68,39 @@ class WordEncoder:
         if len(self.cache) > CACHED_WORDS:
             self.cache = {"": b""}
         cache = self.cache
-        new = list(set().union(*words) - cache.keys())
-        for start in range(0, len(new), 50_000):
-            part = new[start:start + 50_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(enc.ids, dtype="<u4").tobytes()
+        # (a set minus a dict's keys would walk the whole dict)
+        new = [w for w in set().union(*words) if w not in cache]
+        # a word of letters is encoded without the stop or comma that ends it, a token of its own
+        core = {w: w[:-1] if w[-1] in ".," else w for w in new}
+        core = {w: c.lower() if c.isascii() else c for w, c in core.items() if c.isalpha()}
+        self._encode_plain([c for c in set(core.values()) if c not in cache])
+        self._encode_each([w for w in new if w not in core] + [c for c in ".," if c not in cache])
+        for w, c in core.items():
+            if w not in cache:
+                cache[w] = cache[c] + cache[w[-1]] if w[-1] in ".," else cache[c]
         return [b"".join([cache[w] for w in ws]) for ws in words]
 
+    def _encode_each(self, parts: list[str]) -> None:
+        for start in range(0, len(parts), 20_000):
+            part = parts[start:start + 20_000]
+            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[word] = array("I", enc.ids).tobytes()
+
+    def _encode_plain(self, parts: list[str]) -> None:
+        """Words of letters, many at once: as each has a token that ends it, as many ends as words part them exactly."""
+        lines = [parts[at:at + 256] for at in range(0, len(parts), 256)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        for words, enc in zip(lines, encoded):
+            ids = np.array(enc.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(words):
+                self._encode_each(words)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(words, ends):
+                self.cache[word] = raw[start:end]
+                start = end
+
 
 _encoders: dict[int, WordEncoder] = {}
 
@@ -173,18 +202,20 @@ def _packed(pieces: DataFrame, groups: int, round_no: int, capacity: int) -> Dat
     pieces = pieces.select("row", "doc_id", "piece", "start", "length", "ids_crc32")
     columns = pieces.columns
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True])
-        sizes = pdf["length"].to_numpy(np.int64)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.select(columns).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"),
+                                       ("row", "ascending")])
+        sizes = t.column("length").to_numpy()
         bins, offsets, count = best_fit_decreasing(sizes, capacity)
         free = capacity - np.bincount(bins, weights=sizes, minlength=count).astype(np.int64)
-        return pd.DataFrame({**{c: pdf[c] for c in columns},
-                             "sequence_id": (round_no << 56) + (int(key[0]) << 28) + bins,
-                             "offset": offsets, "free": free[bins], "bins": count,
-                             "bound": lower_bound(sizes, capacity)})
+        added = {"sequence_id": (round_no << 56) + (key[0].as_py() << 28) + bins, "offset": offsets, "free": free[bins],
+                 "bins": np.full(len(bins), count), "bound": np.full(len(bins), lower_bound(sizes, capacity))}
+        for name, values in added.items():
+            t = t.append_column(name, pa.array(values, pa.int64()))
+        return t
 
     dealt = F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups))
-    return pieces.groupBy(dealt.alias("grp")).applyInPandas(run, _PACKED)
+    return pieces.groupBy(dealt.alias("grp")).applyInArrow(run, _PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,
