@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from demandspark.operators import forecast as fc
 from demandspark.operators import ranking, reshape, scale
+from demandspark.session import cut_lineage
 
 # The reference's hyper-parameter grids (None depth -> MLlib's maximum, 30).
 # A split needs twice ``minInstancesPerNode`` rows: 1, 3 and 5 stand for at least 2, 5 (6) and 10 rows.
@@ -191,8 +192,8 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
     scaler = scale.fit_scaler(train_raw, features)
     scaled = scaler.transform(split, suffix="_s")
     sfeatures = [f"{c}_s" for c in features]
-    train = scaled.filter("is_train").persist()
-    test = scaled.filter(~F.col("is_train")).persist()
+    train = cut_lineage(scaled.filter("is_train"))   # every fit reads it
+    test = cut_lineage(scaled.filter(~F.col("is_train")))
     preds = {"baseline": fc.baseline_lag24(test)}
     train_preds, status, fitted, chosen = {}, [], {}, {}
     for kind in model_types:

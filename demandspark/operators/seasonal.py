@@ -25,11 +25,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.operators import ranking, windows
+from demandspark.session import cut_lineage
 
 SEASON = 24
 ARMA_LAGS = (1, 24, 25)
@@ -81,13 +81,13 @@ def seasonal_ar_fit(series: DataFrame, by: str = "city", order: Sequence[str] =
     y = _lagged(pos, by, value, (1, SEASON, SEASON + 1), "_y")
     w = y.withColumn("w", F.col(value) - F.col("_y1") - F.col(f"_y{SEASON}") + F.col(f"_y{SEASON + 1}"))
     w = w.drop("_y1", f"_y{SEASON}", f"_y{SEASON + 1}")
-    long = _lagged(w, by, "w", LONG_AR_LAGS, "_wl").persist(StorageLevel.MEMORY_AND_DISK)
+    long = cut_lineage(_lagged(w, by, "w", LONG_AR_LAGS, "_wl"))
     xs1 = [f"_wl{n}" for n in LONG_AR_LAGS]
     c1 = _fit_ls(long.filter("is_train"), by, xs1, "w", "c1")
-    fitted = long.join(c1, by)
+    fitted = long.join(c1, by, "left")   # a city too short for any complete row has no coefficients
     pred1 = sum((F.col(x) * F.col("c1")[i] for i, x in enumerate(xs1)), F.lit(0.0))
-    # read by the stage-2 fit, the forecast tail and the test rows: keep one copy
-    resid = fitted.withColumn("e", F.col("w") - pred1).drop(*xs1, "c1").persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the stage-2 fit, the forecast tail and the test rows: written once
+    resid = cut_lineage(fitted.withColumn("e", F.col("w") - pred1).drop(*xs1, "c1"))
     stage2 = _lagged(_lagged(resid, by, "w", ARMA_LAGS, "_w"), by, "e", ARMA_LAGS, "_e")
     xs2 = [f"_w{n}" for n in ARMA_LAGS] + [f"_e{n}" for n in ARMA_LAGS]
     c2 = _fit_ls(stage2.filter("is_train"), by, xs2, "w", "coef")

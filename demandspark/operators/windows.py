@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandspark.functions import scalars as S
 from demandspark.operators import ranking
+from demandspark.session import cut_lineage
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 
@@ -44,9 +44,8 @@ def chunked_window(df: DataFrame, by: Sequence[str], order: Sequence[str], exprs
         idx = df.withColumnRenamed(index, "_gi") if index != "_gi" else df
         if keep_index is None and index != "_gi":
             keep_index = index
-        # base and halo branches both read this frame: keep one copy instead of
-        # evaluating the upstream plan twice (deterministic, so safe to recompute)
-        idx = idx.persist(StorageLevel.MEMORY_AND_DISK)
+        # base and halo branches both read this frame: written once, and dropped with its last reader
+        idx = cut_lineage(idx)
     else:
         idx = ranking.global_row_index(df, [*by, *order], "_gi")
     chunk = F.floor(F.col("_gi") / chunk_rows)

@@ -3,7 +3,6 @@ and the distance operators (JN9, JN10, CLU4-6, CLU8, CLU9)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from demandspark.operators import clean, cluster, neighbors, scale
 from demandspark.plans import api
 from demandspark.plans.common import round_doubles
 from demandspark.plans.registry import query, r4
+from demandspark.session import cut_lineage
 from demandspark.sources import fixtures as fx
 
 DP = fx.with_ctes(fx.SQL_DEMAND_PANEL)
@@ -64,8 +64,8 @@ def cluster_input(spark, sf):
     p = clean.impute_median(p, ["temperature", "humidity"])
     cols = list(scale.CLUSTER_FEATURES)
     z = scale.standardize(p, cols, suffix="_z")
-    # iterative fits read this frame many times: keep it (recomputable, so executor loss is safe)
-    return scale.assemble(z, [f"{c}_z" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK), cols
+    # iterative fits read this frame many times: written once
+    return cut_lineage(scale.assemble(z, [f"{c}_z" for c in cols])), cols
 
 
 @query("ml3_pca_scores")

@@ -72,7 +72,8 @@ def test_group_statistics_join_alike_broadcast_or_not(spark):
 
 def test_group_zscore_does_not_shuffle_rows_on_the_city(spark):
     from demandspark.operators import windows
-    df = spark.range(1000).select(F.col("id").cast("double").alias("demand"), F.lit("a").alias("city"))
+    df = spark.range(1000).select(F.col("id").cast("double").alias("demand"),
+                                  F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("city"))
     plan = windows.group_zscore(df, ["demand"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(city" not in plan and "BroadcastHashJoin" in plan
 
