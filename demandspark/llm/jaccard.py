@@ -72,9 +72,11 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_hashes) > CACHED_WORDS:
         _hashes.clear()
-    for w in set(words) - _hashes.keys():
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_hashes[w] for w in words], np.uint64)
+    # (a set minus a dict's keys would walk the whole dict)
+    for w in set(words):
+        if w not in _hashes:
+            _hashes[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
     n = max(len(h) - size + 1, 1)
     s = np.full(n, min(len(h), size), np.uint64)   # a short text differs from a longer one that starts alike
     for k in range(min(size, len(h))):
