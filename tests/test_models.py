@@ -118,3 +118,35 @@ def test_batched_kmeans_silhouette_matches_mllib_and_sweep_keeps_best_start(spar
     assert abs(ours - mllib) < 1e-9
     sweep = {r.k: r.ssd for r in cluster.kmeans_sweep(df, [2, 4], n_init=5, seed=0).collect()}
     assert sweep[4] == pytest.approx(best4["cost"], rel=1e-9) and sweep[2] > sweep[4]
+
+
+def test_boosted_grid_search_matches_one_fit_per_candidate(spark):
+    pdf, df = _regression_frame(spark, n=160)
+    train = df.withColumn("position", F.col("row_id")).repartition(1)
+    grid = {"maxIter": [2, 6], "stepSize": [0.1, 0.5], "maxDepth": [2]}
+    model, best = models.grid_search("gradient_boosting", train, ["a", "b", "c"], grid)
+    folds = fc.time_series_folds(train, 3)
+    errors = []
+    for params in models.grid(grid):
+        each = []
+        for i in range(3):
+            fitted = models.pipeline("gradient_boosting", ["a", "b", "c"], params).fit(
+                folds.filter((F.col("fold") == i) & (F.col("role") == "train")))
+            out = fitted.transform(folds.filter((F.col("fold") == i) & (F.col("role") == "test")))
+            each.append(out.agg(F.avg((F.col(fc.TARGET) - F.col("prediction")) ** 2)).first()[0])
+        errors.append(sum(each) / 3)
+    assert best == models.grid(grid)[int(np.argmin(errors))]
+    assert len(model.stages[-1].trees) == best["maxIter"]
+
+
+def test_forest_grid_search_and_out_of_fold_stack(spark):
+    pdf, df = _regression_frame(spark, n=120)
+    train = df.withColumn("position", F.col("row_id"))
+    model, best = models.grid_search("random_forest", train, ["a", "b", "c"],
+                                     {"numTrees": [3], "maxDepth": [2, None], "minInstancesPerNode": [1]})
+    assert best["maxDepth"] is None and model.stages[-1].getNumTrees == 3
+    oof = [models.out_of_fold("linear", train, ["a", "b", "c"]),
+           models.out_of_fold("random_forest", train, ["a", "b", "c"], best)]
+    assert oof[0].count() == oof[1].count() == 90     # three of four blocks
+    stacked = models.ensemble_stack(oof, oof)
+    assert stacked.filter("prediction is null").count() == 0
