@@ -50,7 +50,7 @@ SLACK = 5.5                 # standard errors below the threshold at which a sig
 TILE_ROWS = 2048            # signatures of one chunk of a trie node
 TILE_TEXTS = 1024           # shingle sets of one chunk of a group
 TILE_BYTES = 8_000_000      # bytes of shingles of one chunk of a group, about
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, size=(SHINGLE + TREES * MAX_DEPTH), dtype=np.uint64) | np.uint64(1)

@@ -32,7 +32,7 @@ from demandspark.llm.common import written
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000        # pieces packed by one task
-CACHED_WORDS = 1_200_000   # words a worker remembers; the cache is emptied when it is full
+CACHED_WORDS = 600_000     # words a worker remembers; the cache is emptied when it is full
 MAX_VOCABULARY_BYTES = 64_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
