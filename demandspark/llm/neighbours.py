@@ -51,7 +51,8 @@ class Hnsw:
         levels = np.minimum((-np.log(draws + 1e-12) / np.log(DEGREE)).astype(np.int64), 4)
         order = np.argsort(-levels, kind="stable")   # upper levels first: the entry point never changes
         vectors, levels = vectors[order], levels[order]
-        links = [np.full((n, DEGREE * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(int(levels.max()) + 1)]
+        # rows have room for twice the links that are kept, so that few insertions have to thin one out
+        links = [np.full((n, 2 * Hnsw.kept(lv)), -1, np.int32) for lv in range(int(levels.max()) + 1)]
         graph = Hnsw(vectors, levels, links)
         graph.order = order
         start = 0
@@ -62,6 +63,11 @@ class Hnsw:
             start = stop
         return graph
 
+    @staticmethod
+    def kept(level: int) -> int:
+        """Links of a vector that are kept when its row is thinned out."""
+        return DEGREE * (2 if level == 0 else 1)
+
     def _insert(self, start: int, stop: int) -> None:
         block = np.arange(start, stop)
         entry = np.zeros(len(block), np.int64)
@@ -85,7 +91,7 @@ class Hnsw:
             for row in np.flatnonzero(mine):
                 found = ids[row][np.argsort(-sims[row], kind="stable")]
                 found = found[found >= 0]
-                chosen = self._spread(block[row], found, self.links[level].shape[1])
+                chosen = self._spread(block[row], found, self.kept(level))
                 self._set(level, block[row], chosen)
                 for other in chosen:
                     self._add(level, other, block[row])
@@ -124,7 +130,7 @@ class Hnsw:
             return
         found = np.append(row, new)
         found = found[np.argsort(-(self.vectors[found] @ self.vectors[node]), kind="stable")]
-        self._set(level, node, self._spread(node, found, len(row)))
+        self._set(level, node, self._spread(node, found, self.kept(level)))
 
     def _beam(self, queries: np.ndarray, entry: np.ndarray, level: int, beam: int,
               limit: int) -> tuple[np.ndarray, np.ndarray]:
