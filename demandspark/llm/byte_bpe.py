@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 256            # bytes
-CACHED_WORDS = 400_000     # words and blank-led chunks a worker remembers; emptied when full
-BLOCK_CHARS = 4_000_000    # characters of text encoded at once
-BLOCK_TOKENS = 1_000_000   # tokens decoded at once
+CACHED_WORDS = 700_000     # words and blank-led chunks a worker remembers; emptied when full
+BLOCK_CHARS = 2_000_000    # characters of text encoded at once
+BLOCK_TOKENS = 500_000     # tokens decoded at once
 QUERY_WORDS = 20_000       # words of one recursive query
+SLICE_ROWS = 512           # rows of an Arrow batch that become Python objects at once
 MEMORY_LIMIT = "400MB"
 MAX_VOCABULARY_BYTES = 64_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"  # Unicode White_Space
@@ -152,10 +153,10 @@ class ByteBpe:
             self.words, self.chunks = {}, {}
         # no match of the pattern crosses from a non-blank to a blank, so chunks can be cut there
         cut = [_CHUNK.findall(t) for t in texts]
-        new = list(set().union(*cut) - self.chunks.keys())
+        # (a set minus a dict's keys would walk the whole dict)
+        new = [c for c in set().union(*cut) if c not in self.chunks]
         split = [self.pattern.findall(c) for c in new]
-        missing = set().union(*split) - self.words.keys()
-        self.encode_words(sorted(missing))
+        self.encode_words(sorted(w for w in set().union(*split) if w not in self.words))
         words, chunks = self.words, self.chunks
         for c, parts in zip(new, split):
             chunks[c] = b"".join([words[w] for w in parts])
@@ -193,6 +194,12 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(lo, SLICE_ROWS)
+
+
 def _blocks(values: list, sizes: list[int], limit: int) -> Iterator[slice]:
     """Slices of consecutive values whose sizes sum to about ``limit`` at most (one value at least)."""
     start, total = 0, 0
@@ -212,7 +219,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in _blocks(texts, [len(t) for t in texts], BLOCK_CHARS):
                 ids = pa.array(model.encode(texts[part]), pa.binary())
@@ -230,7 +237,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
             for part in _blocks(ids, [len(x) // 4 for x in ids], BLOCK_TOKENS):
                 decoded = pa.array(model.decode(ids[part]), pa.binary())
