@@ -269,8 +269,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     queries = written(df.filter(is_query & valid(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("qid"), F.col(vector_col).cast("array<double>").alias("v")).distinct(),
         "ann-queries")
-    found = search_index(index, queries, k + 1, beam)
-    # the query's own vector holds its copies: always a candidate
+    # the query's own vector holds its copies: always a candidate, even if the search does not reach it
+    own = (queries.withColumn("h", F.xxhash64("v")).join(entries.withColumn("h", F.xxhash64("v")), ["h", "v"])
+           .select("qid", "vid"))
+    found = search_index(index, queries, k + 1, beam).unionByName(own).distinct()
     scored = (found.join(entries.select("vid", F.col("v").alias("cv"), "ids"), "vid")
               .join(queries, "qid")
               .select(F.col("qid").alias("query_id"), F.explode("ids").alias("vec_id"), _cosine(F.col("v"), F.col("cv")).alias("score"))

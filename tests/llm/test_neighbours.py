@@ -77,6 +77,18 @@ def test_edge_vectors(spark):
     assert neighbours.nearest(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_copies_are_found_if_the_search_misses_the_own_vector(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v[i % 20].tolist(), 0) for i in range(60)], SCHEMA)
+    search = neighbours.search_index
+    monkeypatch.setattr(neighbours, "search_index", lambda *a: search(*a).filter("qid % 20 <> vid"))
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") < 60).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(got[q]) == 5 and got[q][:2] == [i for i in range(q % 20, 60, 20) if i != q] for q in range(60))
+
+
 def test_many_copies_of_one_vector(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(400, 8))
