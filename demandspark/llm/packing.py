@@ -5,9 +5,9 @@ the capacity.  ``pack`` deals the pieces by hash into partitions of bounded
 size, packs each by best-fit decreasing and certifies it: when a lower bound
 from dual feasible functions equals the number of bins, no packing of that
 partition is better.  Partitions with a gap put the documents of their bins
-that have room into a common pool, which is dealt into fewer partitions and
-packed again, until all are certified, one partition is left or a round saves
-no bin.
+that have room into a common pool, which is dealt anew (into fewer partitions
+as it shrinks) and packed again, until all are certified, one partition is left
+or a round saves no bin; every other round saves one at least, so it ends.
 
 Edge cases: a null text is the empty text (one end token); repeated rows are
 packed as often as they occur (dealt by a row number written with the
@@ -21,6 +21,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -208,7 +209,7 @@ def _packed(pieces: DataFrame, groups: int, round_no: int, capacity: int) -> Dat
         sizes = t.column("length").to_numpy()
         bins, offsets, count = best_fit_decreasing(sizes, capacity)
         free = capacity - np.bincount(bins, weights=sizes, minlength=count).astype(np.int64)
-        added = {"sequence_id": (round_no << 56) + (key[0].as_py() << 28) + bins, "offset": offsets, "free": free[bins],
+        added = {"sequence_id": (round_no << 48) + (key[0].as_py() << 24) + bins, "offset": offsets, "free": free[bins],
                  "bins": np.full(len(bins), count), "bound": np.full(len(bins), lower_bound(sizes, capacity))}
         for name, values in added.items():
             t = t.append_column(name, pa.array(values, pa.int64()))
@@ -219,9 +220,11 @@ def _packed(pieces: DataFrame, groups: int, round_no: int, capacity: int) -> Dat
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,
-         max_rounds: int = 4) -> DataFrame:
+         max_rounds: int | None = None) -> DataFrame:
     """Pack pieces (lengths 1 to ``capacity``) into sequences of at most ``capacity``.
 
+    Rounds end by the rule above, or after ``max_rounds`` if it is given.
+
     Returns the piece columns with sequence_id and offset (gapless from 0 in
     each sequence), and ``certified``: whether the piece's partition reached
     its lower bound.
@@ -233,12 +236,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     groups = max(1, -(-n // group_rows))
     current = written(_packed(pieces, groups, 0, capacity), "packed-0")
     done: list[DataFrame] = []
-    for round_no in range(1, max_rounds + 1):
+    for round_no in count(1) if max_rounds is None else range(1, max_rounds + 1):
         gap = F.col("bins") > F.col("bound")
         pool = current.filter(gap & (F.col("free") > 0))
         stats = pool.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
         fewer = max(1, -(-stats["n"] // group_rows))
-        if stats["bins"] < 2 or fewer >= groups:
+        if stats["bins"] < 2 or groups == 1:
             break
         again = written(_packed(pool, fewer, round_no, capacity), f"packed-{round_no}")
         if again.agg(F.count_distinct("sequence_id").alias("b")).first()["b"] >= stats["bins"]:

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandspark.llm import packing
@@ -58,6 +59,24 @@ def test_rounds_save_bins_and_lose_nothing(spark):
     assert total <= 100
 
 
+def test_rounds_go_on_while_they_save_bins(spark, monkeypatch):
+    """Dealing that saves one bin a round, until it is down to six."""
+    rounds = []
+
+    def dealt(pool, groups, round_no, capacity):
+        rounds.append(groups)
+        bins = max(12 - round_no, 6)
+        return pool.select("row", "doc_id", "piece", "start", "length", "ids_crc32",
+                           (F.col("doc_id") % bins + F.lit(round_no << 48)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+                           F.lit(1).cast("long").alias("free"), F.lit(9).cast("long").alias("bins"), F.lit(1).cast("long").alias("bound"))
+    monkeypatch.setattr(packing, "_packed", dealt)
+    pieces = spark.createDataFrame([(i, 0, 0, 1, 0) for i in range(24)], packing.PIECES)
+    out = packing.pack(pieces, 100, group_rows=4)
+    assert len(rounds) == 8 and set(rounds) == {6}     # the last one saves none
+    assert out.count() == 24 and out.select("sequence_id").distinct().count() == 6
+    assert packing.pack(pieces, 100, group_rows=24).select("sequence_id").distinct().count() == 12   # one partition
+
+
 def exact_bins(sizes, capacity):
     """Least number of bins, by trying all placements."""
     best = len(sizes)
