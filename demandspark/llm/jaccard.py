@@ -1,13 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 7).
+"""N-gram Jaccard join by MinHash LSH bands of fixed depth (operator 7).
 
 1. Every text becomes the set of hashes of its five-word shingles; texts with
    equal sets form a *set class* (one representative, a number of copies), so
    groups of copies are never paired.
-2. Each class has one MinHash signature, read as ``TREES`` prefixes of
-   ``MAX_DEPTH`` values: the paths of a forest of prefix tries.  The prefix
-   that must match is shortened from the full depth until the recall of the
-   whole forest at the threshold reaches the target; classes below the same
-   node of that depth are candidates (longer matches are among them).
+2. Each class has one MinHash signature, read as ``TREES`` bands of
+   ``MAX_DEPTH`` values.  How long a prefix of a band must match follows from
+   the threshold and the target recall alone, by a closed formula; it is not
+   shortened from the data, and no trie is built or sorted.  Classes with the
+   same hashed prefix in a band (a node) are candidates; longer matches are
+   among them.
 3. Within a node, pairs whose signatures agree far less than the threshold
    asks for are set aside (``SLACK`` standard errors, part of the target
    recall), and the rest is written as a spanning forest, not as pairs.  Its
