@@ -183,23 +183,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (a, b) of n nodes."""
-    root = list(range(n))
+class Forest:
+    """A spanning forest of pairs that arrive row by row, as one label a node and at most one edge less than nodes."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.a: list[int] = []
+        self.b: list[int] = []
 
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[max(rx, ry)] = min(rx, ry)
-            kept.append((x, y))
-    return kept
+    def link(self, i: int, others: np.ndarray) -> None:
+        """Join node ``i`` with ``others``; of each tree so joined one edge is kept."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            self.a += [i] * int(new.sum())
+            self.b += others[first[new]].tolist()
+            self.label[np.isin(self.label, labels[new])] = self.label[i]
 
 
 def candidate_groups(classes: DataFrame, threshold: float, target_recall: float) -> DataFrame:
@@ -223,18 +222,15 @@ def candidate_groups(classes: DataFrame, threshold: float, target_recall: float)
             sig = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(n, values)
             chunk = np.array(t.column("chunk").to_pylist())
             cross = t.column("tx")[0].as_py() != t.column("ty")[0].as_py()
-            a, b = [], []
+            forest = Forest(n)
             for i in range(n - 1):
                 same = (sig[i + 1:] == sig[i]).sum(axis=1) >= floor
                 if cross:
                     same &= chunk[i + 1:] != chunk[i]
-                j = np.flatnonzero(same) + i + 1
-                a.append(np.full(len(j), i))
-                b.append(j)
-            kept = _forest(n, np.concatenate(a), np.concatenate(b))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([cls[x] for x, _ in kept], pa.binary()),
-                                                  pa.array([cls[y] for _, y in kept], pa.binary())], names=["a", "b"])
+                forest.link(i, np.flatnonzero(same) + i + 1)
+            if forest.a:
+                yield pa.RecordBatch.from_arrays([pa.array([cls[x] for x in forest.a], pa.binary()),
+                                                  pa.array([cls[y] for y in forest.b], pa.binary())], names=["a", "b"])
 
     links = written(tiles.mapInArrow(run, "a binary, b binary"), "candidate-links")
     return components(links).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
@@ -298,13 +294,14 @@ def verified_links(df: DataFrame, classes: DataFrame, groups: DataFrame, id_col:
             cross = t.column("tx")[0].as_py() != t.column("ty")[0].as_py()
             linked = _verify(sets, np.array(t.column("chunk").to_pylist()), cross, threshold)
             links = (linked @ copies + linked.T @ copies).astype(np.int64)
-            a, b = np.nonzero(linked)
-            kept = _forest(len(cls), a, b)
+            forest = Forest(len(cls))
+            for i, row in enumerate(linked):
+                forest.link(i, np.flatnonzero(row))
             hit = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cls[i] for i in hit] + [cls[x] for x, _ in kept], pa.binary()),
-                 pa.array([None] * len(hit) + [cls[y] for _, y in kept], pa.binary()),
-                 pa.array(links[hit].tolist() + [0] * len(kept), pa.int64())], names=["a", "b", "links"])
+                [pa.array([cls[i] for i in hit] + [cls[x] for x in forest.a], pa.binary()),
+                 pa.array([None] * len(hit) + [cls[y] for y in forest.b], pa.binary()),
+                 pa.array(links[hit].tolist() + [0] * len(forest.a), pa.int64())], names=["a", "b", "links"])
 
     return written(tiles.mapInArrow(run, "a binary, b binary, links long"), "verified-links")
 

@@ -106,3 +106,36 @@ def test_components(spark, edges):
             if None not in (a, b) and a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_forest_of_a_dense_tile_stays_small():
+    """4,096 rows that are all alike: one edge less than rows, without a list of their 8 million pairs."""
+    import tracemalloc
+
+    import numpy as np
+    tracemalloc.start()
+    forest = jaccard.Forest(4096)
+    for i in range(4096):
+        forest.link(i, np.arange(i + 1, 4096))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(forest.a) == 4095 and len(set(forest.label.tolist())) == 1
+    assert peak < 50_000_000
+
+
+def test_forest_joins_as_the_pairs_do():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (40, 2)).tolist() if p[0] != p[1]}
+    forest = jaccard.Forest(60)
+    for i in range(60):
+        forest.link(i, np.array(sorted(b for a, b in pairs if a == i), int))
+
+    def groups(edges):
+        root = list(range(60))
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+    assert groups(pairs) == groups(zip(forest.a, forest.b)) and set(zip(forest.a, forest.b)) <= pairs
