@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,11 @@ from demandspark.llm.common import written
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000        # pieces packed by one task
-CACHED_WORDS = 600_000     # words a worker remembers; the cache is emptied when it is full
+BLOCK_BYTES = 6_000_000    # bytes of text encoded at once, about
+CACHED_WORDS = 400_000     # words a worker remembers; the cache is emptied when it is full
 MAX_VOCABULARY_BYTES = 64_000_000
 
+TAILS = (".", ",")         # tokens of their own wherever they end a word
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,7 +50,7 @@ def load_vocabulary(path: str) -> str:
 
 
 class WordEncoder:
-    """Encodes texts word by word with a cache.
+    """Encodes texts word by word; known words and their ids are kept as Arrow arrays.
 
     Valid for tokenizers whose tokens never contain white space: a text may
     then be cut at blanks and line ends, and each part encoded alone.
@@ -58,54 +60,111 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.cache: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
-        # (a set minus a dict's keys would walk the whole dict)
-        new = [w for w in set().union(*words) if w not in cache]
-        # a word of letters is encoded without the stop or comma that ends it, a token of its own
-        core = {w: w[:-1] if w[-1] in ".," else w for w in new}
-        core = {w: c.lower() if c.isascii() else c for w, c in core.items() if c.isalpha()}
-        self._encode_plain([c for c in set(core.values()) if c not in cache])
-        self._encode_each([w for w in new if w not in core] + [c for c in ".," if c not in cache])
-        for w, c in core.items():
-            if w not in cache:
-                cache[w] = cache[c] + cache[w[-1]] if w[-1] in ".," else cache[c]
-        return [b"".join([cache[w] for w in ws]) for ws in words]
-
-    def _encode_each(self, parts: list[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        # the words, their ids one after the other, and where each word's ids end
+        self.words = pa.array(["", *TAILS], pa.string())
+        ids = self._each(list(TAILS))
+        self.ids = np.concatenate(ids)
+        self.ends = np.cumsum([0, 0, *[len(x) for x in ids]])
+
+    def _add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths, dtype=np.int64)])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words one after the other, and where each word's ids end (from 0)."""
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends, pa.int64()), pa.array(self.ids, pa.uint32()))
+        taken = lists.take(pa.array(numbers, pa.int64()))
+        ends = taken.offsets.to_numpy()
+        return taken.flatten().to_numpy(), ends - ends[0]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids end (from 0, one more than texts).
+
+        Arrow splits the texts, numbers their distinct words and finds the known ones; ids are
+        gathered back by number.
+        """
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        known = pc.index_in(words.dictionary, value_set=self.words)
+        if known.null_count:
+            self._learn(words.dictionary.filter(known.is_null()))
+            known = pc.index_in(words.dictionary, value_set=self.words)
+        ids, ends = self._gather(known.to_numpy()[words.indices.to_numpy()])
+        return ids.astype("<u4", copy=False), ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+
+    def _learn(self, new: pa.Array) -> None:
+        """Append words that are not known yet.
+
+        A word of letters is encoded without the stop or comma that ends it, a token of its own,
+        and in lower case if it is ASCII; these stems are known words as well.
+        """
+        tail = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(new, -1), value_set=pa.array(TAILS)), -1)
+        stem = pc.if_else(pc.greater_equal(tail, 0), pc.utf8_slice_codeunits(new, 0, -1), new)
+        stem = pc.if_else(pc.string_is_ascii(stem), pc.ascii_lower(stem), stem)
+        plain = pc.utf8_is_alpha(stem)
+        odd = new.filter(pc.invert(plain))
+        each = self._each(odd.to_pylist())
+        stems = stem.filter(plain).unique()
+        stems = stems.filter(pc.is_null(pc.index_in(stems, value_set=self.words)))
+        self._add(stems, *self._plain(stems.to_pylist()))
+        if each:
+            self._add(odd, np.concatenate(each), np.array([len(x) for x in each]))
+        rest = pc.and_(plain, pc.not_equal(stem, new))
+        pairs = np.empty((pc.sum(rest).as_py() or 0, 2), np.int64)
+        pairs[:, 0] = pc.index_in(stem.filter(rest), value_set=self.words).to_numpy()
+        pairs[:, 1] = tail.filter(rest).to_numpy() + 1     # word 0 is empty, the tails come next
+        ids, ends = self._gather(pairs.ravel())
+        self._add(new.filter(rest), ids, np.diff(ends[::2]))
+
+    def _each(self, parts: list[str]) -> list[np.ndarray]:
+        out = []
         for start in range(0, len(parts), 20_000):
-            part = parts[start:start + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = array("I", enc.ids).tobytes()
+            out += [np.array(enc.ids, "<u4") for enc in self.tokenizer.encode_batch_fast(
+                parts[start:start + 20_000], add_special_tokens=False)]
+        return out
+
+    def _plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of words of letters, many at once.
 
-    def _encode_plain(self, parts: list[str]) -> None:
-        """Words of letters, many at once: as each has a token that ends it, as many ends as words part them exactly."""
+        As each word has a token that ends it, as many ends as words part them exactly.
+        """
+        ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         lines = [parts[at:at + 256] for at in range(0, len(parts), 256)]
         encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
         for words, enc in zip(lines, encoded):
-            ids = np.array(enc.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            line = np.array(enc.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[line]) + 1
             if len(ends) != len(words):
-                self._encode_each(words)
-                continue
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(words, ends):
-                self.cache[word] = raw[start:end]
-                start = end
+                each = self._each(words)
+                line, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(line)
+            lengths.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 _encoders: dict[int, WordEncoder] = {}
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``BLOCK_BYTES`` of text (one row at least)."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def tokenised_pieces(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
                      capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids with ``with_ids``)."""
@@ -118,15 +177,13 @@ def tokenised_pieces(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         key = zlib.crc32(shared.value[:100_000].encode()) ^ len(shared.value)
         encoder = _encoders.get(key) or _encoders.setdefault(key, WordEncoder(shared.value))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in _blocks(batch):
                 rows = []
-                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc, ids in zip(part.column(0).to_pylist(), encoded):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        cut = ids[4 * at:4 * (at + capacity)]
+                ids, ends = encoder.encode(part.column(1).fill_null(""))
+                for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    own = ids[lo:hi].tobytes() + end
+                    for k, at in enumerate(range(0, hi - lo + 1, capacity)):
+                        cut = own[4 * at:4 * (at + capacity)]
                         rows.append((doc, k, at, len(cut) // 4, zlib.crc32(cut)) +
                                     ((np.frombuffer(cut, "<u4").astype(np.int64),) if with_ids else ()))
                 cols = list(zip(*rows))
