@@ -1,31 +1,29 @@
 """Forecasting models, grid search, ensembles and persistence (FC4, FC7-FC10, FC12-FC14, SNK4).
 
-Every model is an MLlib estimator in a ``Pipeline`` behind a
-``VectorAssembler``; fitting is distributed (tree statistics and gradient
-sums are aggregated across partitions).  Predictions are keyed by row_id, so
-ensembles are joins, never positional.
+The linear models are MLlib estimators in a ``Pipeline`` behind a
+``VectorAssembler``; forests and boosting are grown by ``trees``, every
+candidate and fold of a search in the same passes.  Predictions are keyed by
+row_id, so ensembles are joins, never positional.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.operators import forecast as fc
-from demandspark.operators import ranking, reshape, scale
+from demandspark.operators import ranking, reshape, scale, trees
 from demandspark.session import cut_lineage
 
-# The reference's hyper-parameter grids (None depth -> MLlib's maximum, 30).
-# A split needs twice ``minInstancesPerNode`` rows: 1, 3 and 5 stand for at least 2, 5 (6) and 10 rows.
-RF_GRID = {"numTrees": [50, 100], "maxDepth": [10, 20, None], "minInstancesPerNode": [1, 3, 5]}
+# The reference's hyper-parameter grids (None: unlimited depth; minSplit: rows needed for a split).
+RF_GRID = {"numTrees": [50, 100], "maxDepth": [10, 20, None], "minSplit": [2, 5, 10]}
 GBT_GRID = {"maxIter": [50, 100], "stepSize": [0.01, 0.1], "maxDepth": [3, 5]}
 BOOST_GRID = {"maxIter": [50, 100], "stepSize": [0.01, 0.1], "maxDepth": [3, 5],
               "subsamplingRate": [0.8, 1.0]}
@@ -37,24 +35,18 @@ MODEL_TYPES = ("baseline", "linear", "random_forest", "gradient_boosting", "boos
                "seasonal_ar", "ensemble_average", "ensemble_stack", "all")
 
 
-def _estimator(kind: str, params: Mapping, seed: int = 42):
-    p = {k: (30 if (k == "maxDepth" and v is None) else v) for k, v in params.items()}
-    common = dict(featuresCol="features", labelCol=fc.TARGET, predictionCol="prediction")
-    if kind == "linear":
-        return LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal", **common)
-    if kind == "random_forest":
-        return RandomForestRegressor(featureSubsetStrategy="all", seed=seed, **p, **common)
-    if kind in ("gradient_boosting", "boosted_subsampled"):
-        return GBTRegressor(seed=seed, **p, **common)
-    raise ValueError(f"unknown model type {kind}")
-
-
-def pipeline(kind: str, features: Sequence[str], params: Mapping | None = None, seed: int = 42) -> Pipeline:
+def pipeline(kind: str, features: Sequence[str], params: Mapping | None = None, seed: int = 42):
+    """An estimator of the kind: ``fit(df)`` gives a model with ``transform(df)``."""
+    if kind in trees.DEFAULTS:
+        return trees.TreeEstimator(kind, list(features), dict(params or {}), fc.TARGET, seed)
+    if kind != "linear":
+        raise ValueError(f"unknown model type {kind}")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"),
-                            _estimator(kind, params or {}, seed)])
+                            LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal", featuresCol="features",
+                                             labelCol=fc.TARGET, predictionCol="prediction")])
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+def predict(model, df: DataFrame, name: str) -> DataFrame:
     out = model.transform(df)
     return out.select("row_id", F.lit(name).alias("model"), F.col(fc.TARGET).alias("actual"), "prediction")
 
@@ -64,50 +56,41 @@ def grid(values: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(keys, combo)) for combo in itertools.product(*[values[k] for k in keys])]
 
 
-ROWS_PER_TASK = 100_000   # training rows of one task; small folds are not scattered over many
+def _fold_limits(n: int, n_splits: int) -> list[tuple[int, int]]:
+    """(end of training, end of test) positions of the expanding folds, as ``time_series_folds`` cuts them."""
+    size = n // (n_splits + 1)
+    return [(n - (n_splits - i) * size, n - (n_splits - i - 1) * size) for i in range(n_splits)]
 
 
-def grid_search(kind: str, train: DataFrame, features: Sequence[str], param_grid: Mapping[str, Sequence],
-                n_splits: int = 3, parallel: int = 4, seed: int = 42) -> tuple[PipelineModel, dict]:
-    """FC4: lowest mean squared error over expanding time folds, then refit on all of train.
+def search(train: DataFrame, features: Sequence[str], grids: Mapping[str, Mapping[str, Sequence]], n_splits: int = 3,
+           seed: int = 42) -> dict[str, tuple[trees.TreeModel, dict]]:
+    """FC4 for several kinds at once: kind -> (model refitted on all of train, its parameters).
 
-    ``train`` must carry a 0-based ``position`` in time order.  Candidate fits
-    run as concurrent Spark jobs.  Boosted candidates that differ only in the
-    number of rounds share one fit, whose error is read after each round.
+    ``train`` must carry a 0-based ``position`` in time order.  All candidates
+    of all kinds on all folds, and on the whole of train, are grown in the same
+    passes; one more pass gives every fold's squared error.  The lowest mean
+    error wins, the first candidate at ties.
     """
-    folds = fc.time_series_folds(train, n_splits)
-    tasks = -(-train.count() * n_splits // ROWS_PER_TASK)
-    folds = folds.coalesce(max(1, tasks)).persist()
-    candidates = grid(param_grid)
-    boosted = kind in ("gradient_boosting", "boosted_subsampled")
-    shared: dict[tuple, list[int]] = {}
-    for i, c in enumerate(candidates):
-        shared.setdefault(tuple((k, v) for k, v in c.items() if not (boosted and k == "maxIter")) or (i,), []).append(i)
-
-    def errors(params: dict, rounds: Sequence[int], fold: int) -> list[float]:
-        """Mean squared test error of one fold, after each of ``rounds`` if the model is boosted."""
-        tr = folds.filter((F.col("fold") == fold) & (F.col("role") == "train"))
-        te = folds.filter((F.col("fold") == fold) & (F.col("role") == "test"))
-        model = pipeline(kind, features, params, seed).fit(tr)
-        if rounds:
-            each = model.stages[-1].evaluateEachIteration(model.stages[0].transform(te), "squared")
-            return [each[r - 1] for r in rounds]
-        return [model.transform(te).agg(F.avg((F.col(fc.TARGET) - F.col("prediction")) ** 2)).first()[0]]
-
-    def score(group: list[int]) -> list[float]:
-        rounds = [candidates[i]["maxIter"] for i in group if "maxIter" in candidates[i]] if boosted else []
-        params = {**candidates[group[0]], **({"maxIter": max(rounds)} if rounds else {})}
-        each = [errors(params, rounds, i) for i in range(n_splits)]
-        return [sum(e) / n_splits for e in zip(*each)]
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(shared)))) as pool:
-            found = list(pool.map(score, shared.values()))
-    finally:
-        folds.unpersist()
-    scores = {i: s for group, ss in zip(shared.values(), found) for i, s in zip(group, ss)}
-    best = min(range(len(candidates)), key=lambda i: (scores[i], i))
-    return pipeline(kind, features, candidates[best], seed).fit(train), candidates[best]
+    candidates = [(kind, params) for kind, values in grids.items() for params in grid(values)]
+    folds = _fold_limits(train.count(), n_splits)
+    requests = [trees.Request(kind, params, limit) for kind, params in candidates
+                for limit in [None, *[end for end, _ in folds]]]
+    fitted = trees.fit_many(train, features, requests, fc.TARGET, seed=seed)
+    each = 1 + n_splits
+    tested = [m for i, m in enumerate(fitted) if i % each]
+    errors = trees.squared_errors(train, tested, folds * len(candidates), fc.TARGET)
+    out = {}
+    for kind in grids:
+        own = [i for i, (k, _) in enumerate(candidates) if k == kind]
+        best = min(own, key=lambda i: (sum(errors[i * n_splits:(i + 1) * n_splits]), i))
+        out[kind] = fitted[best * each], candidates[best][1]
+    return out
+
+
+def grid_search(kind: str, train: DataFrame, features: Sequence[str], param_grid: Mapping[str, Sequence],
+                n_splits: int = 3, seed: int = 42) -> tuple[trees.TreeModel, dict]:
+    """FC4: lowest mean squared error over expanding time folds, then the fit on all of train."""
+    return search(train, features, {kind: param_grid}, n_splits, seed)[kind]
 
 
 def ridge_reg_param(alpha: float, df: DataFrame, label: str) -> float:
@@ -131,9 +114,14 @@ def out_of_fold(kind: str, train: DataFrame, features: Sequence[str], params: Ma
                 n_splits: int = 3, seed: int = 42, name: str | None = None) -> DataFrame:
     """FC13 ``oof``: predictions of the later folds by models that saw only earlier rows."""
     folds = fc.time_series_folds(train, n_splits)
+    limits = _fold_limits(train.count(), n_splits)
+    if kind in trees.DEFAULTS:
+        fitted = trees.fit_many(train, features, [trees.Request(kind, params or {}, end) for end, _ in limits], fc.TARGET, seed=seed)
+    else:
+        fitted = [pipeline(kind, features, params, seed).fit(folds.filter((F.col("fold") == i) & (F.col("role") == "train")))
+                  for i in range(n_splits)]
     out = None
-    for i in range(n_splits):
-        model = pipeline(kind, features, params, seed).fit(folds.filter((F.col("fold") == i) & (F.col("role") == "train")))
+    for i, model in enumerate(fitted):
         part = predict(model, folds.filter((F.col("fold") == i) & (F.col("role") == "test")), name or kind)
         out = part if out is None else out.unionByName(part)
     return out
@@ -195,21 +183,24 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
     train = cut_lineage(scaled.filter("is_train"))   # every fit reads it
     test = cut_lineage(scaled.filter(~F.col("is_train")))
     preds = {"baseline": fc.baseline_lag24(test)}
-    train_preds, status, fitted, chosen = {}, [], {}, {}
+    train_preds, status, fitted = {}, [], {}
+    wanted = {k: grids[k] for k in model_types if k in trees.DEFAULTS}
+    found: dict = {}
+    if wanted:
+        try:
+            found = search(train, sfeatures, wanted, n_splits)
+        except Exception as e:  # noqa: BLE001 -- failing trees must not stop the others
+            status += [(k, "failed", f"{type(e).__name__}: {e}"[:500]) for k in wanted]
     for kind in model_types:
+        if kind in wanted and kind not in found:
+            continue
         try:
-            if kind == "linear":
-                model = pipeline(kind, sfeatures).fit(train)
-            else:
-                model, best = grid_search(kind, train, sfeatures, grids[kind], n_splits)
-                chosen[kind] = best
-                status.append((kind, "ok", str(best)))
+            model, best = found[kind] if kind in found else (pipeline(kind, sfeatures).fit(train), None)
             fitted[kind] = model
             preds[kind] = predict(model, test, kind)
-            train_preds[kind] = (out_of_fold(kind, train, sfeatures, chosen.get(kind), n_splits) if oof
+            train_preds[kind] = (out_of_fold(kind, train, sfeatures, best, n_splits) if oof
                                  else predict(model, train, kind))
-            if kind == "linear":
-                status.append((kind, "ok", ""))
+            status.append((kind, "ok", "" if best is None else str(best)))
         except Exception as e:  # noqa: BLE001 -- a failing model must not stop the others
             status.append((kind, "failed", f"{type(e).__name__}: {e}"[:500]))
     if seasonal and city:
@@ -219,7 +210,7 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
             status.append(("seasonal_ar", "ok", ""))
         except Exception as e:  # noqa: BLE001
             status.append(("seasonal_ar", "failed", f"{type(e).__name__}: {e}"[:500]))
-    base = [k for k in model_types if k in preds]
+    base = [k for k in model_types if k in train_preds]
     if len(base) >= 2:
         preds["ensemble_average"] = ensemble_average([preds[k] for k in base])
         preds["ensemble_stack"] = ensemble_stack([train_preds[k] for k in base], [preds[k] for k in base])
@@ -232,18 +223,25 @@ def run_forecast(df: DataFrame, city: str | None = None, test_size: float = 0.2,
     return ForecastRun(all_preds, fc.metrics(all_preds), status_df, fitted, scaler)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """SNK4: persist a fitted pipeline (shared storage path)."""
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> str:
+    """SNK4: persist a fitted pipeline or tree model (shared storage path)."""
+    if isinstance(model, trees.TreeModel):
+        from pyspark.sql import SparkSession
+        SparkSession.active().createDataFrame([(model.to_json(),)], "model string").write.mode("overwrite").json(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    """SNK4: reload a saved pipeline."""
-    return PipelineModel.load(path)
+def load_model(path: str, kind: str = "linear"):
+    """SNK4: reload a saved model of the kind."""
+    if kind not in trees.DEFAULTS:
+        return PipelineModel.load(path)
+    from pyspark.sql import SparkSession
+    return trees.TreeModel.from_json(SparkSession.active().read.schema("model string").json(path).first()["model"])
 
 
-def save_run(fitted: Mapping[str, PipelineModel], scaler: scale.ScalerModel, path: str, spark) -> None:
+def save_run(fitted: Mapping, scaler: scale.ScalerModel, path: str, spark) -> None:
     """SNK4: every fitted model and the scaler that its features went through."""
     for kind, model in fitted.items():
         save_model(model, f"{path.rstrip('/')}/{kind}")
@@ -251,7 +249,7 @@ def save_run(fitted: Mapping[str, PipelineModel], scaler: scale.ScalerModel, pat
         f"{path.rstrip('/')}/scaler")
 
 
-def load_run(spark, path: str, kind: str) -> tuple[PipelineModel, scale.ScalerModel]:
+def load_run(spark, path: str, kind: str) -> tuple:
     """SNK4: a saved model with its scaler, so that a reload predicts as the saved run did."""
     text = spark.read.schema("scaler string").json(f"{path.rstrip('/')}/scaler").first()["scaler"]
-    return load_model(f"{path.rstrip('/')}/{kind}"), scale.ScalerModel.from_json(text)
+    return load_model(f"{path.rstrip('/')}/{kind}", kind), scale.ScalerModel.from_json(text)

@@ -6,6 +6,8 @@ rounded quantities; the oracle derives the expected values from the tables.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -154,6 +156,35 @@ def fc10_subsampled_boosting_fits(spark, sf):
     return _boosting(spark, sf, "boosted_subsampled", {"maxIter": 50, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 0.8})
 
 
+@query("fc10_leaf_sums", _FP_SQL + """SELECT CAST(count(*) AS BIGINT) AS rows, 0.0 AS largest_gap
+FROM split WHERE position < CAST(floor(n * 0.8) AS BIGINT)""")
+def fc10_leaf_sums(spark, sf):
+    """In every leaf of the last round, the residuals before it sum to the leaf's value times (rows + penalty)."""
+    train, _, feats = _train_test_scaled(spark, sf)
+    params = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 1.0}
+    model = models.pipeline("boosted_subsampled", feats, params).fit(train)
+    before = replace(model, trees=model.trees[:-1])
+    last = replace(model, trees=model.trees[-1:], base=0.0, step=1.0)
+    rows = last.transform(before.transform(train).withColumn("residual", F.col(fc.TARGET) - F.col("prediction")))
+    leaves = rows.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("residual").alias("sum"))
+    gap = F.abs(F.col("sum") - F.col("prediction") * (F.col("n") + model.params["regLambda"]))
+    return _rounded(leaves.agg(F.sum("n").alias("rows"), F.max(gap).alias("largest_gap")))
+
+
+@query("fc14_every_model_ok", _FP_SQL + """, c14 AS (
+  SELECT row_number() OVER (ORDER BY local_time, row_id) - 1 AS p, count(*) OVER () AS m FROM feats WHERE city = 'view'),
+n14 AS (SELECT CAST(count(*) AS BIGINT) AS n FROM c14 WHERE p >= CAST(floor(m * 0.8) AS BIGINT)),
+s14 AS (SELECT CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS n FROM hourly_panel WHERE city = 'view')
+SELECT model, n AS rows, TRUE AS ok FROM n14, (VALUES ('baseline'), ('linear'), ('random_forest'), ('gradient_boosting'),
+  ('boosted_subsampled'), ('ensemble_average'), ('ensemble_stack')) v(model)
+UNION ALL SELECT 'seasonal_ar', n, TRUE FROM s14""")
+def fc14_every_model_ok(spark, sf):
+    """The whole run with full grids: every model ends well and predicts every test row."""
+    run = models.run_forecast(forecast_panel(spark, sf), city="view")
+    rows = run.predictions.groupBy("model").agg(F.count("prediction").alias("rows"))
+    return rows.join(run.status, "model", "left").select("model", "rows", F.coalesce(F.col("status") == "ok", F.lit(True)).alias("ok"))
+
+
 @query("fc11_rows_by_city", fx.with_ctes(fx.SQL_DEMAND_PANEL, fx.SQL_HOURLY_PANEL) + """
 SELECT city, CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS rows,
        CAST(CASE WHEN floor(count(*) * 0.8) >= 25 THEN count(*) - floor(count(*) * 0.8) ELSE 0 END AS BIGINT) AS predicted
@@ -169,7 +200,7 @@ def fc11_rows_by_city(spark, sf):
 def fc13_stack_of_out_of_fold(spark, sf):
     """The out-of-fold option of stacking: every test row gets a prediction."""
     train, test, feats = _train_test_scaled(spark, sf)
-    params = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 3}
+    params = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 3}
     tr = [models.out_of_fold("linear", train, feats), models.out_of_fold("gradient_boosting", train, feats, params)]
     te = [models.predict(models.pipeline("linear", feats).fit(train), test, "linear"),
           models.predict(models.pipeline("gradient_boosting", feats, params).fit(train), test, "gradient_boosting")]

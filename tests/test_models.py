@@ -136,15 +136,15 @@ def test_boosted_grid_search_matches_one_fit_per_candidate(spark):
             each.append(out.agg(F.avg((F.col(fc.TARGET) - F.col("prediction")) ** 2)).first()[0])
         errors.append(sum(each) / 3)
     assert best == models.grid(grid)[int(np.argmin(errors))]
-    assert len(model.stages[-1].trees) == best["maxIter"]
+    assert len(model.trees) == best["maxIter"]
 
 
 def test_forest_grid_search_and_out_of_fold_stack(spark):
     pdf, df = _regression_frame(spark, n=120)
     train = df.withColumn("position", F.col("row_id"))
     model, best = models.grid_search("random_forest", train, ["a", "b", "c"],
-                                     {"numTrees": [3], "maxDepth": [2, None], "minInstancesPerNode": [1]})
-    assert best["maxDepth"] is None and model.stages[-1].getNumTrees == 3
+                                     {"numTrees": [3], "maxDepth": [1, None], "minSplit": [2]})
+    assert best["maxDepth"] is None and len(model.trees) == 3
     oof = [models.out_of_fold("linear", train, ["a", "b", "c"]),
            models.out_of_fold("random_forest", train, ["a", "b", "c"], best)]
     assert oof[0].count() == oof[1].count() == 90     # three of four blocks

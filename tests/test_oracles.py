@@ -14,7 +14,7 @@ from conftest import SF_CHECK, SF_SMALL  # noqa: E402
 
 #: These fit models, and the smallest tables leave no complete feature row to fit on.
 FITTED = {"fc7_normal_equations", "fc8_forest_within_range", "fc9_boosting_fits", "fc10_subsampled_boosting_fits",
-          "fc13_stack_of_out_of_fold", "api2_forecast_rows", "snk4_reloaded_run"}
+          "fc10_leaf_sums", "fc13_stack_of_out_of_fold", "fc14_every_model_ok", "api2_forecast_rows", "snk4_reloaded_run"}
 
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
