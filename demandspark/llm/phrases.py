@@ -47,7 +47,7 @@ INSIDE_SHARE = 80          # percent of its occurrences that a phrase has inside
 SCALE = 2_000_000
 UNKNOWN = "und"
 BLOCK_BYTES = 4_000_000
-BUCKET_KEYS = 8_000_000    # fingerprints of a bucket, about
+BUCKET_KEYS = 3_000_000    # fingerprints of a bucket, about
 KEY_BITS = 32              # of a fingerprint that the census keeps beside the bucket's
 
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
