@@ -8,11 +8,15 @@ token-position rows with the vocabulary and concatenates the bytes by an
 ordered aggregation.  Spark partitions the work; a DuckDB connection lives in a
 Python worker, holds only the vocabulary and sees blocks of bounded size.
 
-Words of more than ``LONG_WORD`` bytes contract all occurrences of their
-minimum-rank pair (from the left, not overlapping) in each round, which gives
-the same tokens because a merge never creates a pair of lower rank than its
-own under a trained vocabulary; so a very long word takes as many rounds as it
-has different merges.
+Words of more than ``LONG_WORD`` bytes are first cut where no token of the
+vocabulary that occurs in the word spans the cut: no merge can cross such a
+place, whatever the vocabulary, so the parts are words of their own.  A part
+that is still longer (a run of one letter, say) contracts all occurrences of
+its minimum-rank pair (from the left, not overlapping) in each round, which
+gives the same tokens because a merge never creates a pair of lower rank than
+its own under a trained vocabulary; its recursion is cut into queries of
+``ROUND_ROWS`` rows, of which only the last state goes on.  So neither the
+length of a word nor the number of its rounds is bounded by memory.
 
 Edge cases: a null text is the empty text, which has no ids; a repeated row is
 encoded like any other; ids outside the vocabulary raise an error when
@@ -24,6 +28,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,7 @@ LONG_WORD = 256            # bytes
 CACHED_WORDS = 700_000     # words and blank-led chunks a worker remembers; emptied when full
 BLOCK_CHARS = 2_000_000    # characters of text encoded at once
 BLOCK_TOKENS = 500_000     # tokens decoded at once
+ROUND_ROWS = 1_000_000     # token-position rows that the rounds of one query on a long part may keep
 QUERY_WORDS = 20_000       # words of one recursive query
 SLICE_ROWS = 512           # rows of an Arrow batch that become Python objects at once
 MEMORY_LIMIT = "400MB"
@@ -68,11 +74,11 @@ WITH RECURSIVE state(word, pos, token, step) AS (
                  min(rank) OVER (PARTITION BY word) AS least FROM (
             SELECT p.word, p.pos, p.token, p.step, merge.rank
             FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM state) p
-            LEFT JOIN merge ON merge.key = p.token * 16777216 + p.next))
+            LEFT JOIN merge ON merge.key = p.token * 16777216 + p.next
+            WHERE p.step < {rounds}))
         WHERE least IS NOT NULL)))
   WHERE NOT absorbed)
-SELECT word, list(token ORDER BY pos) FILTER (WHERE step = last) AS tokens
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) GROUP BY word"""
+SELECT pos, token, step FROM state WHERE step = (SELECT max(step) FROM state) ORDER BY pos"""
 
 _DECODE = """
 SELECT text, unhex(string_agg(bytes, '' ORDER BY pos)) AS decoded
@@ -100,6 +106,8 @@ class ByteBpe:
         self.known_ids[list(self.ranks.values())] = True
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.ordered: list[bytes] = []
+        self.longest = max(map(len, self.ranks))
 
     def _fill(self, name: str, columns: dict) -> None:
         self.db.register("filling", pa.table(columns))
@@ -117,35 +125,74 @@ class ByteBpe:
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of ``words`` (little-endian unsigned 32-bit) into the cache."""
-        short, long = [], []
+        short: list[bytes] = []
+        parts: dict[str, list[bytes]] = {}
         for w in words:
             b = w.encode("utf-8")
+            parts[w] = [b] if len(b) <= LONG_WORD else self._parts(b)
+            short += parts[w]
+        ids: dict[bytes, bytes] = {}
+        short = sorted(set(short))
+        for b in short:
             r = self.ranks.get(b)
             if r is not None:
-                self.words[w] = np.array([r], "<u4").tobytes()
-            else:
-                (short if len(b) <= LONG_WORD else long).append((w, b))
+                ids[b] = np.array([r], "<u4").tobytes()
+        short = [b for b in short if b not in ids]
+        for b in short:
+            if len(b) > LONG_WORD:
+                ids[b] = self._encode_long(b)
+        short = [b for b in short if b not in ids]
         for at in range(0, len(short), QUERY_WORDS):
             part = short[at:at + QUERY_WORDS]
             letters, offsets = self._letters(part)
             tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(letters))
-            self._store(part, self._query(_ENCODE, words=pa.table(
-                {"word": np.arange(len(part), dtype=np.int32), "tokens": tokens})))
-        for word in long:
-            letters, _ = self._letters([word])
-            self._store([word], self._query(_ENCODE_LONG, letters=pa.table(
-                {"word": np.zeros(len(letters), np.int32), "pos": np.arange(len(letters)), "token": letters})))
-
-    def _letters(self, part: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.concatenate([[0], np.cumsum([len(b) for _, b in part])])
-        return self.byte_ids[np.frombuffer(b"".join(b for _, b in part), np.uint8)], offsets
-
-    def _store(self, part: list[tuple[str, bytes]], result: pa.Table) -> None:
-        tokens = result.column("tokens").combine_chunks()
-        flat, offsets = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-        flat = flat.astype("<u4")
-        for k, w in enumerate(result.column("word").to_pylist()):
-            self.words[part[w][0]] = flat[offsets[k]:offsets[k + 1]].tobytes()
+            result = self._query(_ENCODE, words=pa.table({"word": np.arange(len(part), dtype=np.int32), "tokens": tokens}))
+            found = result.column("tokens").combine_chunks()
+            flat, ends = found.values.to_numpy().astype("<u4"), found.offsets.to_numpy()
+            for k, w in enumerate(result.column("word").to_pylist()):
+                ids[part[w]] = flat[ends[k]:ends[k + 1]].tobytes()
+        for w, ps in parts.items():
+            self.words[w] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+
+    def _parts(self, word: bytes) -> list[bytes]:
+        """The word cut at every place that no token occurring in it spans."""
+        if not self.ordered:
+            self.ordered = sorted(self.ranks)
+        ordered, seen = self.ordered, {}
+        reach, start, out = 1, 0, []
+        for i in range(len(word)):
+            if i and i >= reach:
+                out.append(word[start:i])
+                start = i
+            window = word[i:i + self.longest]
+            n = seen.get(window)
+            if n is None:
+                # the longest token from here: prefixes grow while some token starts with them
+                n = 1
+                for k in range(2, len(window) + 1):
+                    at = bisect_left(ordered, window[:k])
+                    if at == len(ordered) or not ordered[at].startswith(window[:k]):
+                        break
+                    if len(ordered[at]) == k:
+                        n = k
+                if len(seen) < 1000:
+                    seen[window] = n
+            reach = max(reach, i + n)
+        return [*out, word[start:]]
+
+    def _encode_long(self, word: bytes) -> bytes:
+        letters, _ = self._letters([word])
+        while True:
+            rounds = max(1, ROUND_ROWS // len(letters))
+            found = self._query(_ENCODE_LONG.format(rounds=rounds), letters=pa.table(
+                {"word": np.zeros(len(letters), np.int32), "pos": np.arange(len(letters)), "token": letters}))
+            letters = found.column("token").to_numpy().astype(np.int64)
+            if found.column("step")[0].as_py() < rounds:
+                return letters.astype("<u4").tobytes()
+
+    def _letters(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum([len(b) for b in part])])
+        return self.byte_ids[np.frombuffer(b"".join(part), np.uint8)], offsets
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

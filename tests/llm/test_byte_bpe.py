@@ -55,6 +55,29 @@ def test_random_long_words(model, reference):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("kind,n", [("letters", 20_000), ("letters", 200_000), ("one", 200_000), ("blank", 200_000),
+                                    ("han", 100_000), ("syllables", 60_000), ("pair", 60_000)])
+def test_very_long_words(model, reference, kind, n):
+    """Whole words of up to 200,000 letters, in bounded memory."""
+    rng = np.random.default_rng(8)
+    pools = {"letters": list("abcdefghijklmnopqrstuvwxyz"), "one": ["a"], "blank": [" "], "pair": ["ab"],
+             "han": [chr(0x4E00 + i) for i in range(3000)], "syllables": ["tion", "ing", "ed", "the", "er", "re", "on"]}
+    text = "".join(rng.choice(pools[kind], n))
+    ids = model.encode([text])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
+
+
+def test_parts_are_cut_where_no_token_spans(model):
+    word = b"qzxqvtheringtion" * 40
+    parts = model._parts(word)
+    assert b"".join(parts) == word and len(parts) > 1
+    cuts = set(np.cumsum([len(p) for p in parts])[:-1].tolist())
+    for i in range(len(word)):
+        for j in range(i + 2, min(len(word), i + 40) + 1):
+            if word[i:j] in model.ranks:
+                assert not cuts & set(range(i + 1, j))
+
+
 def test_unknown_ids_raise(model):
     with pytest.raises(ValueError):
         model.decode([np.array([60_000], "<u4").tobytes()])
