@@ -1,11 +1,10 @@
-"""K-Means, K selection, bisecting hierarchy and quick silhouettes (CLU1-3, CLU7, CLU10, CLU11).
+"""K-Means, K selection, Ward's hierarchy and quick silhouettes (CLU1-3, CLU7, CLU10, CLU11).
 
 K-Means restarts and the K sweep are fitted together by ``kmeans_batch``:
 every Lloyd iteration is one distributed pass producing per-centre sums for
 all models, so the data is never gathered and never re-read per model; only
 centres (models x k x d numbers) live on the driver.  Labels are assigned by
-a JVM-side nearest-centre expression.  The hierarchy is MLlib's bisecting
-K-Means.
+a JVM-side nearest-centre expression.  The hierarchy is that of ``ward``.
 """
 
 from __future__ import annotations
@@ -14,13 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.operators import kmeans_batch
+from demandspark.operators import kmeans_batch, ward
 
 
 @dataclass
@@ -105,16 +103,14 @@ def choose_k(sweep: DataFrame, ref_offset: int = 1) -> DataFrame:
     return best.select("best_k", F.least(F.col("best_k") + ref_offset, F.col("_hi")).alias("reference_rule_k"))
 
 
-def hierarchical(df: DataFrame, k: int = 5, seed: int = 42, features: str = "features",
-                 label: str = "hierarchical_cluster") -> DataFrame:
-    """CLU7 (re-aimed): top-down bisecting k-means, labels 1..k.
+def hierarchical(df: DataFrame, k: int = 5, features: str = "features", label: str = "hierarchical_cluster",
+                 max_features: int = ward.MAX_FEATURES) -> DataFrame:
+    """CLU7: Ward's hierarchy cut to k clusters, labels 1..min(k, distinct points) from the largest on.
 
-    Exact Ward linkage needs every pairwise merge cost on one machine; the
-    bisecting hierarchy gives a cluster tree that is built with distributed
-    passes only.
+    Exact while the table has at most ``max_features`` distinct points; beyond
+    that the merges are over that many clustering features.
     """
-    model = BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="_b").fit(df)
-    return model.transform(df).withColumn(label, F.col("_b") + 1).drop("_b")
+    return ward.fit(df, features, max_features).label(df, k, features, label)
 
 
 def compare_algorithms(rows: Sequence[tuple[str, int, float | None, int]], spark) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from demandspark.operators import clean, cluster, neighbors, scale
+from demandspark.operators import clean, cluster, neighbors, scale, ward
 from demandspark.plans import api
 from demandspark.plans.common import round_doubles
 from demandspark.plans.registry import query, r4
@@ -152,6 +152,13 @@ def clu7_hierarchical(spark, sf):
     return cluster.hierarchical(data, k=5).select("row_id", "hierarchical_cluster")
 
 
+@query("clu7_ward_linkage")
+def clu7_ward_linkage(spark, sf):
+    """The merge tree over all rows (dendrogram): as many merges as there are features, less one."""
+    data, _ = cluster_input(spark, sf)
+    return ward.fit(data).linkage(spark)
+
+
 @query("clu10_silhouette_fast")
 def clu10_silhouette_fast(spark, sf):
     data, _ = cluster_input(spark, sf)

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from demandspark.operators import cluster, forecast as fc, iforest, kmeans_batch, models, reshape, scale, seasonal
+from demandspark.operators import cluster, forecast as fc, iforest, kmeans_batch, models, reshape, scale, seasonal, ward
 from demandspark.plans import api
 from demandspark.plans.common import round_doubles
 from demandspark.plans.q_cluster import cluster_input
@@ -102,6 +102,19 @@ def clu7_tree_labels(spark, sf):
         F.count_if((label < 1) | (label > 5)).alias("out_of_range"))
 
 
+@query("clu7_ward_heights", DP + """SELECT CAST(least(5, count(DISTINCT (demand, temperature, humidity, windSpeed, local_time)))
+  AS BIGINT) AS clusters, TRUE AS heights_rise, 1.0 AS explained FROM demand_panel""")
+def clu7_ward_heights(spark, sf):
+    """The merges' costs and the squares inside the features add up to the squares of all rows, and merges only get dearer."""
+    data, cols = cluster_input(spark, sf)
+    model = ward.fit(data)
+    costs = [m.cost for m in model.merges]
+    total = data.agg(sum((F.var_pop(f"{c}_z") * F.count(f"{c}_z") for c in cols), F.lit(0.0)).alias("t")).first()["t"]
+    return _rounded(model.label(data, 5, "features", "c").agg(
+        F.count_distinct("c").alias("clusters"), F.lit(costs == sorted(costs)).alias("heights_rise"),
+        F.lit((sum(costs) + model.within) / total).alias("explained")))
+
+
 @query("clu10_silhouette_agrees", DP + """SELECT CAST(count(*) AS BIGINT) AS rows, 0.0 AS difference FROM demand_panel""")
 def clu10_silhouette_agrees(spark, sf):
     """MLlib's silhouette equals the closed form from the cluster sums."""
