@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import written
+from demandspark.llm.common import by_bytes, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -154,17 +154,6 @@ class WordEncoder:
 _encoders: dict[int, WordEncoder] = {}
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``BLOCK_BYTES`` of text (one row at least)."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < batch.num_rows:
-        before = int(ends[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def tokenised_pieces(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
                      capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids with ``with_ids``)."""
@@ -177,7 +166,7 @@ def tokenised_pieces(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         key = zlib.crc32(shared.value[:100_000].encode()) ^ len(shared.value)
         encoder = _encoders.get(key) or _encoders.setdefault(key, WordEncoder(shared.value))
         for batch in batches:
-            for part in _blocks(batch):
+            for part in by_bytes(batch, 1, BLOCK_BYTES):
                 rows = []
                 ids, ends = encoder.encode(part.column(1).fill_null(""))
                 for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
