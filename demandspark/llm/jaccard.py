@@ -50,7 +50,7 @@ TARGET_RECALL = 0.9999
 SLACK = 5.5                 # standard errors below the threshold at which a signature still counts
 TILE_ROWS = 2048            # signatures of one chunk of a trie node
 TILE_TEXTS = 1024           # shingle sets of one chunk of a group
-TILE_BYTES = 8_000_000      # bytes of shingles of one chunk of a group, about
+TILE_BYTES = 4_000_000      # bytes of shingles of one chunk of a group, about
 CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -111,6 +111,9 @@ def _per_row(df: DataFrame, id_col: str, text_col: str, compute: Callable[[str],
                     [part.column(0).take(at), part.column(1).take(at),
                      *[pa.array(list(c), t) for c, (_, t, _) in zip(cols, fields)]],
                     names=["id", "key", *[f for f, _, _ in fields]])
+        # the worker goes on to other tasks and stages
+        _hashes.clear()
+        pa.default_memory_pool().release_unused()
 
     schema = f"id {id_type}, key long, " + ", ".join(f"{f} {sql}" for f, _, sql in fields)
     return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"),
@@ -255,8 +258,10 @@ def _verify(sets: list[np.ndarray], left: np.ndarray, cross: bool, threshold: fl
         m = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), np.float32)
         m[owner[part], column[part] - lo] = 1
         both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    linked = both >= threshold * union - 1e-6 * union
+    linked = np.empty((n, n), bool)
+    for lo in range(0, n, 256):
+        part = both[lo:lo + 256]
+        linked[lo:lo + 256] = part >= (threshold - 1e-6) * (size[lo:lo + 256, None] + size[None, :] - part)
     linked &= np.triu(np.ones((n, n), bool), 1)
     if cross:
         linked &= left[:, None] != left[None, :]

@@ -33,8 +33,8 @@ from demandspark.llm.common import by_bytes, written
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000        # pieces packed by one task
-BLOCK_BYTES = 6_000_000    # bytes of text encoded at once, about
-CACHED_WORDS = 400_000     # words a worker remembers; the cache is emptied when it is full
+BLOCK_BYTES = 2_000_000    # bytes of text encoded at once, about
+CACHED_WORDS = 200_000     # words a worker remembers; the cache is emptied when it is full
 MAX_VOCABULARY_BYTES = 64_000_000
 
 TAILS = (".", ",")         # tokens of their own wherever they end a word
@@ -63,14 +63,16 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop all learnt words and give their memory back."""
         # the words, their ids one after the other, and where each word's ids end
         self.words = pa.array(["", *TAILS], pa.string())
         ids = self._each(list(TAILS))
         self.ids = np.concatenate(ids)
         self.ends = np.cumsum([0, 0, *[len(x) for x in ids]])
+        pa.default_memory_pool().release_unused()
 
     def _add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.words = pa.concat_arrays([self.words, words])
@@ -93,7 +95,7 @@ class WordEncoder:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = parts.flatten().dictionary_encode()
         if len(self.words) > CACHED_WORDS:
-            self._forget()
+            self.forget()
         known = pc.index_in(words.dictionary, value_set=self.words)
         if known.null_count:
             self._learn(words.dictionary.filter(known.is_null()))
@@ -127,9 +129,9 @@ class WordEncoder:
 
     def _each(self, parts: list[str]) -> list[np.ndarray]:
         out = []
-        for start in range(0, len(parts), 20_000):
+        for start in range(0, len(parts), 5_000):
             out += [np.array(enc.ids, "<u4") for enc in self.tokenizer.encode_batch_fast(
-                parts[start:start + 20_000], add_special_tokens=False)]
+                parts[start:start + 5_000], add_special_tokens=False)]
         return out
 
     def _plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,15 +141,16 @@ class WordEncoder:
         """
         ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         lines = [parts[at:at + 256] for at in range(0, len(parts), 256)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
-        for words, enc in zip(lines, encoded):
-            line = np.array(enc.ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[line]) + 1
-            if len(ends) != len(words):
-                each = self._each(words)
-                line, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            ids.append(line)
-            lengths.append(np.diff(ends, prepend=0))
+        for at in range(0, len(lines), 64):
+            encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines[at:at + 64]], add_special_tokens=False)
+            for words, enc in zip(lines[at:at + 64], encoded):
+                line = np.array(enc.ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[line]) + 1
+                if len(ends) != len(words):
+                    each = self._each(words)
+                    line, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+                ids.append(line)
+                lengths.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(lengths)
 
 
@@ -180,6 +183,8 @@ def tokenised_pieces(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)],
                                                  names=names[:len(cols)])
+        # the worker goes on to other tasks and stages
+        encoder.forget()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
                      ).mapInArrow(run, schema)
