@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandspark.functions import scalars as S
 from demandspark.operators import forecast as fc
-from demandspark.operators import models, scale, seasonal
+from demandspark.operators import arima, models, scale, seasonal
 from demandspark.plans.common import round_doubles
 from demandspark.plans.registry import query, r4
 from demandspark.session import scratch_path
@@ -191,6 +191,12 @@ def fc11_seasonal_ar(spark, sf):
     return seasonal.seasonal_ar_predictions(series)
 
 
+@query("fc11_seasonal_arima")
+def fc11_seasonal_arima(spark, sf):
+    """Seasonal ARIMA by exact likelihood, all cities fitted together."""
+    return arima.predictions(fx.hourly_panel(spark, sf).select("row_id", "city", "local_time", "demand"))
+
+
 @query("fc13_ensemble_stack")
 def fc13_ensemble_stack(spark, sf):
     train, test, feats = _train_test_scaled(spark, sf)

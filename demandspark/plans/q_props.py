@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from demandspark.operators import cluster, forecast as fc, iforest, kmeans_batch, models, reshape, scale, seasonal, ward
+from demandspark.operators import arima, cluster, forecast as fc, iforest, kmeans_batch, models, reshape, scale, seasonal, ward
 from demandspark.plans import api
 from demandspark.plans.common import round_doubles
 from demandspark.plans.q_cluster import cluster_input
@@ -209,6 +210,34 @@ def fc11_rows_by_city(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("predicted"))
 
 
+_SPAN = "PARTITION BY city ORDER BY local_time, row_id"
+
+
+@query("fc11_arima_likelihood", fx.with_ctes(fx.SQL_DEMAND_PANEL, fx.SQL_HOURLY_PANEL).rstrip() + f""",
+d AS (SELECT city, row_number() OVER ({_SPAN}) - 1 AS pos, count(*) OVER (PARTITION BY city) AS n,
+        demand - lag(demand, 1) OVER ({_SPAN}) - lag(demand, 24) OVER ({_SPAN}) + lag(demand, 25) OVER ({_SPAN}) AS w
+      FROM hourly_panel WHERE demand IS NOT NULL),
+f AS (SELECT city, count(w) AS m, sum(w * w) AS s FROM d WHERE pos < floor(n * 0.8) GROUP BY city HAVING count(w) >= 8),
+t AS (SELECT city, CAST(count(*) FILTER (WHERE pos >= floor(n * 0.8)) AS BIGINT) AS rows FROM d GROUP BY city)
+SELECT t.city, rows, CASE WHEN m IS NULL THEN CAST(0 AS BIGINT) ELSE rows END AS predicted,
+       {r4('-0.5 * m * (ln(2 * pi()) + 1 + ln(s / m))')} AS noise_loglik,
+       m IS NOT NULL AS fitted_is_likelier FROM t LEFT JOIN f ON f.city = t.city""")
+def fc11_arima_likelihood(spark, sf):
+    """Test rows forecast by city, the likelihood of plain noise, and that the fit is at least as likely."""
+    frame = arima.differenced(fx.hourly_panel(spark, sf).select("row_id", "city", "local_time", "demand"))
+    packed = arima.chunks(frame)
+    models_ = arima.fit(packed)
+    noise = arima.evaluate(packed, {c: np.zeros((1, 4)) for c in models_})
+    rows = [(c, float(arima.log_likelihood(noise[c][1][0], noise[c][2][0], noise[c][0]))) for c in models_]
+    known = spark.createDataFrame([(c, x, bool(models_[c]["loglik"] >= x - 1e-6)) for c, x in rows],
+                                  "city string, noise_loglik double, likelier boolean")
+    out = arima.forecast(frame, models_).join(frame.select("row_id", "city"), "row_id")
+    counts = out.groupBy("city").agg(F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("predicted"))
+    every = frame.select("city").distinct().join(counts, "city", "left").na.fill(0, ["rows", "predicted"])
+    return round_doubles(every.join(known, "city", "left").select(
+        "city", "rows", "predicted", "noise_loglik", F.coalesce("likelier", F.lit(False)).alias("fitted_is_likelier")))
+
+
 @query("fc13_stack_of_out_of_fold", _TEST_ROWS)
 def fc13_stack_of_out_of_fold(spark, sf):
     """The out-of-fold option of stacking: every test row gets a prediction."""
