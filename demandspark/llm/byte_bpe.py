@@ -125,34 +125,38 @@ class ByteBpe:
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of ``words`` (little-endian unsigned 32-bit) into the cache."""
-        short: list[bytes] = []
-        parts: dict[str, list[bytes]] = {}
+        short, long = [], []
         for w in words:
             b = w.encode("utf-8")
-            parts[w] = [b] if len(b) <= LONG_WORD else self._parts(b)
-            short += parts[w]
-        ids: dict[bytes, bytes] = {}
-        short = sorted(set(short))
-        for b in short:
             r = self.ranks.get(b)
             if r is not None:
-                ids[b] = np.array([r], "<u4").tobytes()
-        short = [b for b in short if b not in ids]
-        for b in short:
-            if len(b) > LONG_WORD:
-                ids[b] = self._encode_long(b)
-        short = [b for b in short if b not in ids]
+                self.words[w] = np.array([r], "<u4").tobytes()
+            else:
+                (short if len(b) <= LONG_WORD else long).append((w, b))
         for at in range(0, len(short), QUERY_WORDS):
             part = short[at:at + QUERY_WORDS]
-            letters, offsets = self._letters(part)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(letters))
-            result = self._query(_ENCODE, words=pa.table({"word": np.arange(len(part), dtype=np.int32), "tokens": tokens}))
-            found = result.column("tokens").combine_chunks()
-            flat, ends = found.values.to_numpy().astype("<u4"), found.offsets.to_numpy()
-            for k, w in enumerate(result.column("word").to_pylist()):
-                ids[part[w]] = flat[ends[k]:ends[k + 1]].tobytes()
-        for w, ps in parts.items():
-            self.words[w] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+            self.words.update(zip([w for w, _ in part], self._encode_short([b for _, b in part])))
+        for w, b in long:
+            parts = self._parts(b)
+            ids = {p: np.array([self.ranks[p]], "<u4").tobytes() for p in set(parts) if p in self.ranks}
+            rest = sorted(set(parts) - set(ids))
+            ids.update((p, self._encode_long(p)) for p in rest if len(p) > LONG_WORD)
+            rest = [p for p in rest if len(p) <= LONG_WORD]
+            for at in range(0, len(rest), QUERY_WORDS):
+                ids.update(zip(rest[at:at + QUERY_WORDS], self._encode_short(rest[at:at + QUERY_WORDS])))
+            self.words[w] = b"".join([ids[p] for p in parts])
+
+    def _encode_short(self, part: list[bytes]) -> list[bytes]:
+        """The ids of each part by one recursive query."""
+        letters, offsets = self._letters(part)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(letters))
+        result = self._query(_ENCODE, words=pa.table({"word": np.arange(len(part), dtype=np.int32), "tokens": tokens}))
+        found = result.column("tokens").combine_chunks()
+        flat, ends = found.values.to_numpy().astype("<u4"), found.offsets.to_numpy().tolist()
+        out = [b""] * len(part)
+        for k, w in enumerate(result.column("word").to_pylist()):
+            out[w] = flat[ends[k]:ends[k + 1]].tobytes()
+        return out
 
     def _parts(self, word: bytes) -> list[bytes]:
         """The word cut at every place that no token occurring in it spans."""

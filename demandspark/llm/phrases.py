@@ -1,7 +1,7 @@
 """Phrase collocation mining by Rabin-Karp fingerprints (operator 12).
 
-1. Texts are normalised and written as *blocks* of one language and bounded
-   size.
+1. Normalised texts are written with the number of a *block*: texts of one
+   language and of bounded size together.
 2. Census: in each block, prefix sums of a polynomial over the bytes give every
    word's hash, and prefix sums over the word hashes give the fingerprint of
    every run of 1 to 4 words, all in numpy.  The block's distinct fingerprints
@@ -47,6 +47,7 @@ INSIDE_SHARE = 80          # percent of its occurrences that a phrase has inside
 SCALE = 2_000_000
 UNKNOWN = "und"
 BLOCK_BYTES = 4_000_000
+HELD_BLOCKS = 4            # blocks' worth of texts a task holds until a block is whole
 BUCKET_KEYS = 3_000_000    # fingerprints of a bucket, about
 KEY_BITS = 32              # of a fingerprint that the census keeps beside the bucket's
 
@@ -142,24 +143,14 @@ class Block:
 
 
 def blocks(df: DataFrame, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, lang, body, n_words): normalised texts, pieces ended by line feeds, in blocks of about ``block_bytes``."""
+    """(block, lang, body, n_words): normalised texts, pieces ended by line feeds, dealt to blocks of about ``block_bytes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
-
-        def block(lang: str) -> pa.RecordBatch:
-            nonlocal number
-            number += 1
-            body = b"\n".join(held.pop(lang))
-            sizes.pop(lang)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([lang]), pa.array([body], pa.binary()),
-                 pa.array([len(body.split())], pa.int64())], names=["block", "lang", "body", "n_words"])
-
+        current: dict[str, list[int]] = {}     # the open block of each language, and its bytes
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
+                rows = []
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     text = text.translate(_CLEAN)
                     at = 0
@@ -170,15 +161,16 @@ def blocks(df: DataFrame, text_col: str = "text", lang_col: str = "lang", block_
                             cut = text.rfind(b"\n", at, at + block_bytes)
                             cut = text.find(b"\n", at) if cut < 0 else cut
                             end = cut + 1 if cut >= 0 else end
-                        held.setdefault(lang, []).append(text[at:end])
-                        sizes[lang] = sizes.get(lang, 0) + end - at + 1
+                        if lang not in current or current[lang][1] >= block_bytes:
+                            number += 1
+                            current[lang] = [number, 0]
+                        current[lang][1] += end - at
+                        body = text[at:end]
+                        rows.append((current[lang][0], lang, body, len(body.split())))
                         at = end
-                        if sizes[lang] >= block_bytes:
-                            yield block(lang)
-                    if len(held) > 1 and sum(sizes.values()) > 4 * block_bytes:
-                        yield block(max(sizes, key=sizes.get))
-        for lang in list(held):
-            yield block(lang)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                        zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.int64()))], names=["block", "lang", "body", "n_words"])
 
     return df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
@@ -195,25 +187,40 @@ def _keys(planes: bytes) -> np.ndarray:
 
 
 def _census(table: DataFrame, bits: int, min_count: int) -> DataFrame:
-    """(bucket, block, keys, counts): the distinct fingerprints of every block by bucket."""
+    """(bucket, block, keys, counts): the distinct fingerprints of every block by bucket (a block may have several rows)."""
     shift = np.uint64(64 - KEY_BITS - bits)
 
+    def counted(number: int, lang: str, bodies: list[bytes]) -> pa.RecordBatch:
+        b = Block(lang, b"\n".join(bodies))
+        found = [fp >> shift for _, _, fp in b.fingerprints(b.word_hashes())]
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        counts = np.minimum(counts, min_count).astype(np.uint8)
+        bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+        low = keys.astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(keys)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts]), pa.array(np.full(len(cuts), number)),
+             pa.array([_planes(low[i:j]) for i, j in zip(cuts.tolist(), ends)], pa.binary()),
+             pa.array([counts[i:j].tobytes() for i, j in zip(cuts.tolist(), ends)], pa.binary())],
+            names=["bucket", "block", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts of a block that came so far; languages may alternate
+        held: dict[tuple[int, str], list[bytes]] = {}
+        sizes: dict[tuple[int, str], int] = {}
         for batch in batches:
-            for number, lang, body in zip(*[c.to_pylist() for c in batch.columns]):
-                b = Block(lang, body)
-                found = [fp >> shift for _, _, fp in b.fingerprints(b.word_hashes())]
-                keys, counts = np.unique(np.concatenate(found), return_counts=True)
-                counts = np.minimum(counts, min_count).astype(np.uint8)
-                bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
-                low = keys.astype(np.uint32)
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = [*cuts[1:].tolist(), len(keys)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts]), pa.array(np.full(len(cuts), number)),
-                     pa.array([_planes(low[i:j]) for i, j in zip(cuts.tolist(), ends)], pa.binary()),
-                     pa.array([counts[i:j].tobytes() for i, j in zip(cuts.tolist(), ends)], pa.binary())],
-                    names=["bucket", "block", "keys", "counts"])
+            for lo in range(0, batch.num_rows, 256):
+                for number, lang, body in zip(*[c.to_pylist() for c in batch.slice(lo, 256).columns]):
+                    key = number, lang
+                    held.setdefault(key, []).append(body)
+                    sizes[key] = sizes.get(key, 0) + len(body)
+                while sum(sizes.values()) > HELD_BLOCKS * BLOCK_BYTES:
+                    key = max(sizes, key=sizes.get)
+                    sizes.pop(key)
+                    yield counted(*key, held.pop(key))
+        for key, bodies in held.items():
+            yield counted(*key, bodies)
 
     return table.select("block", "lang", "body").mapInArrow(run, "bucket long, block long, keys binary, counts binary")
 
@@ -274,9 +281,9 @@ def _materialised(table: DataFrame, frequent: DataFrame, bits: int) -> DataFrame
         lang = left.column("lang")[0].as_py() if left.num_rows else ""
         phrases, lengths, counts = [], [], []
         if left.num_rows and right.num_rows:
-            wanted = np.concatenate([(np.uint64(b) << np.uint64(KEY_BITS)) | _keys(k).astype(np.uint64) for b, k in sorted(
-                zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist()))])
-            for n, found, count in exact_runs(Block(lang, left.column("body")[0].as_py()), wanted, shift):
+            wanted = np.unique(np.concatenate([(np.uint64(b) << np.uint64(KEY_BITS)) | _keys(k).astype(np.uint64) for b, k in zip(
+                right.column("bucket").to_pylist(), right.column("keys").to_pylist())]))
+            for n, found, count in exact_runs(Block(lang, b"\n".join(left.column("body").to_pylist())), wanted, shift):
                 phrases += found
                 lengths += [n] * len(found)
                 counts += count
