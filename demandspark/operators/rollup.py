@@ -158,3 +158,87 @@ def distinct_values(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     if approx:
         return df.agg(F.approx_count_distinct(col).alias(f"n_{col}"))
     return df.select(col).distinct()
+
+
+# --- mergeable rollup states (AGG1, AGG2) --------------------------------------------------
+
+def calendar_keys(kind: str, ts: str = "local_time", by: Sequence[str] = ("city",)) -> list:
+    """The key columns of the ``daily`` or ``weekly`` rollup."""
+    t = F.col(ts)
+    if kind == "daily":
+        return [*[F.col(c) for c in by], S.date_part(ts).alias("date")]
+    if kind == "weekly":
+        return [*[F.col(c) for c in by], F.year(t).alias("year"), F.weekofyear(t).alias("week")]
+    raise ValueError("kind must be daily or weekly")
+
+
+def rollup_state(df: DataFrame, kind: str, measures: Sequence[str], ts: str = "local_time",
+                 by: Sequence[str] = ("city",)) -> DataFrame:
+    """Per key and measure the state (n, sum, m2, lo, hi) from which every rollup statistic follows.
+
+    ``m2`` is the sum of squared distances from the mean.
+    """
+    def state(c: str):
+        n = F.count(c)
+        return F.struct(n.alias("n"), F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias("sum"),
+                        F.coalesce(F.var_pop(c) * n, F.lit(0.0)).alias("m2"), F.min(F.col(c).cast("double")).alias("lo"),
+                        F.max(F.col(c).cast("double")).alias("hi")).alias(c)
+    return df.groupBy(*calendar_keys(kind, ts, by)).agg(*[state(c) for c in measures])
+
+
+def merge_states(states: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One state per key from several tables of states (a key has at most one row in each).
+
+    Counts and sums add up, ranges widen, and squared distances add with the
+    shift between the means (Chan, Golub and LeVeque, 1979).
+    """
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    measures = [c for c in out.columns if c not in keys]
+
+    def both(a, b):
+        n = a["n"] + b["n"]
+        gap = F.try_divide(a["sum"], a["n"]) - F.try_divide(b["sum"], b["n"])
+        shift = F.coalesce(gap * gap * a["n"] * F.try_divide(b["n"], n), F.lit(0.0))
+        return F.struct(n.alias("n"), (a["sum"] + b["sum"]).alias("sum"), (a["m2"] + b["m2"] + shift).alias("m2"),
+                        F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))
+
+    def merged(c: str):
+        # as many entries as tables of states, in the order of their values so that sums repeat exactly
+        parts = F.sort_array(F.collect_list(c))
+        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), both).alias(c)
+    return out.groupBy(*keys).agg(*[merged(c) for c in measures])
+
+
+def finish_states(states: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The rollup table (``col_stat`` columns) of a table of states."""
+    def stat(c: str, name: str):
+        s = F.col(c)
+        some = s["n"] > 0
+        return {"count": s["n"], "sum": F.when(some, s["sum"]), "mean": F.try_divide(s["sum"], s["n"]), "min": s["lo"], "max": s["hi"],
+                "std": F.when(s["n"] > 1, F.sqrt(F.greatest(s["m2"], F.lit(0.0)) / (s["n"] - 1)))}[name].alias(f"{c}_{name}")
+    return states.select(*keys, *[stat(c, name) for c, stats in spec.items() if c in states.columns for name in stats])
+
+
+KEYS = {"daily": ["city", "date"], "weekly": ["city", "year", "week"]}
+
+
+def add_hours(new: DataFrame, base: str, measures: Sequence[str] = tuple(DAILY_STATS), ts: str = "local_time") -> dict[str, DataFrame]:
+    """Merge new rows into the daily and weekly states stored under ``base`` and commit both together.
+
+    Only the new rows and the stored states are read.  Returns the finished
+    daily and weekly tables.
+    """
+    from demandspark.sources import io
+    spark = new.sparkSession
+    stored = io.committed_tables(spark, base)
+    merged = {}
+    for kind, keys in KEYS.items():
+        states = [rollup_state(new, kind, measures, ts)]
+        if stored:
+            states.append(spark.read.parquet(stored[kind]))
+        merged[kind] = merge_states(states, keys)
+    paths = io.commit_tables(merged, base)
+    spec = {"daily": DAILY_STATS, "weekly": WEEKLY_STATS}
+    return {kind: finish_states(spark.read.parquet(paths[kind]), KEYS[kind], spec[kind]) for kind in KEYS}

@@ -59,6 +59,21 @@ def src3_read_weather_json(spark, sf):
                                    "temperature", "humidity"))
 
 
+@query("src3_read_weather_arrays", DP.rstrip() + ",\n" + fx.SQL_WEATHER_PANEL + f"""
+SELECT city, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time,
+       {r4('temperature')} AS temperature, {r4('humidity * 100')} AS humidity FROM weather""")
+def src3_read_weather_arrays(spark, sf):
+    """Files that hold one array of readings each, split between tasks."""
+    w = fx.weather_panel(spark, sf)
+    recs = w.select("city", F.struct(S.ntz_epoch_seconds("local_time").alias("time"), "temperature", "humidity").alias("r"),
+                    F.pmod(F.xxhash64("local_time"), F.lit(64)).alias("file"))
+    arrays = recs.groupBy("city", "file").agg(F.to_json(F.collect_list("r"), {"pretty": "true"}).alias("value"))
+    path = scratch_path(spark, "weather_arrays")
+    arrays.select("city", "value").repartition(8, "value").write.partitionBy("city").option("lineSep", "\n").text(path)
+    df = io.read_weather_arrays(spark, path)
+    return round_doubles(df.select("city", S.format_ts("local_time").alias("local_time"), "temperature", "humidity"))
+
+
 @query("src4_read_processed", LP + """
 SELECT row_id, strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, hour, day_of_week, day_name,
        CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month IN (3, 4, 5) THEN 'Spring'

@@ -8,6 +8,7 @@ from demandspark.functions import scalars as S
 from demandspark.operators import ranking, rollup
 from demandspark.plans.common import date_str, round_doubles, sql_stats
 from demandspark.plans.registry import query, r4
+from demandspark.session import scratch_path
 from demandspark.sources import fixtures as fx
 
 DP = fx.with_ctes(fx.SQL_DEMAND_PANEL)
@@ -32,6 +33,33 @@ def agg2_weekly_rollup(spark, sf):
     return round_doubles(rollup.weekly_rollup(fx.demand_panel(spark, sf)))
 
 
+def _in_three_parts(spark, sf):
+    """Rollups from three disjoint parts of the hours, each merged into the stored states in turn."""
+    p = fx.demand_panel(spark, sf)
+    base = scratch_path(spark, "rollup-states")
+    part = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    for i in range(3):
+        out = rollup.add_hours(p.filter(part == i), base)
+    return out
+
+
+@query("agg1_merged_daily_rollup", DP + f"""
+SELECT city, CAST(CAST(local_time AS DATE) AS VARCHAR) AS date,
+       {sql_stats(rollup.DAILY_STATS)}
+FROM demand_panel GROUP BY city, CAST(local_time AS DATE)""")
+def agg1_merged_daily_rollup(spark, sf):
+    d = _in_three_parts(spark, sf)["daily"]
+    return round_doubles(d.select("city", date_str("date"), *d.columns[2:]))
+
+
+@query("agg2_merged_weekly_rollup", DP + f"""
+SELECT city, CAST(year(local_time) AS INTEGER) AS year, CAST(week(local_time) AS INTEGER) AS week,
+       {sql_stats(rollup.WEEKLY_STATS)}
+FROM demand_panel GROUP BY city, year(local_time), week(local_time)""")
+def agg2_merged_weekly_rollup(spark, sf):
+    return round_doubles(_in_three_parts(spark, sf)["weekly"])
+
+
 def _describe_sql(by: str = "") -> str:
     keys = f"{by}, " if by else ""
     unions = "\n  UNION ALL ".join(

@@ -7,8 +7,10 @@ from a ``city=`` directory when the folder is Hive-partitioned).
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +78,38 @@ def read_weather_json(spark: SparkSession, paths: str | Sequence[str], tz: str |
     # An object file is a struct at top level; an array file is a top-level JSON
     # array, which the reader already turns into one row per element: one declared
     # schema covers both, and no inference pass runs.
-    raw = spark.read.option("multiLine", multi_line).schema(WEATHER_RECORD).json(existing)
+    return _weather(spark.read.option("multiLine", multi_line).schema(WEATHER_RECORD).json(existing), tz)
+
+
+def read_weather_arrays(spark: SparkSession, paths: str | Sequence[str], tz: str | None = None) -> DataFrame:
+    """SRC3 for large files: the same readings, with a file's array split between tasks.
+
+    Files are read as text whose lines end at every closing brace, which Spark
+    splits by byte ranges, so one array of any size is parsed by many tasks.
+    Readings are flat objects; if any piece is not a whole one (a nested object,
+    or a brace inside a text), all files are read by ``read_weather_json``.
+    """
+    if isinstance(paths, str):
+        paths = [paths]
+    existing = [p for p in paths if _exists(spark, p)]
+    if len(existing) < len(paths) or not existing:
+        return read_weather_json(spark, paths, tz)
+    text = spark.read.option("lineSep", "}").text(existing)
+    partitioned = "city" in text.columns
+    piece = F.regexp_replace("value", r"^[\s\[\],]+", "")
+    broken = T.StructType([*WEATHER_RECORD.fields, T.StructField("_broken", T.StringType())])
+    parsed = text.select(
+        (F.col("city") if partitioned else S.file_stem(F.col("_metadata.file_name"))).alias("city"),
+        piece.alias("piece")).filter("piece <> ''").select(
+        "city", F.from_json(F.concat("piece", F.lit("}")), broken,
+                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"), "piece")
+    whole = F.col("piece").startswith("{") & F.col("r._broken").isNull() & ~F.col("piece").substr(2, 1 << 30).contains("{")
+    if not parsed.filter(~whole).isEmpty():
+        return read_weather_json(spark, paths, tz)
+    return _weather(parsed.select("city", "r.*").drop("_broken"), tz)
+
+
+def _weather(raw: DataFrame, tz: str | None) -> DataFrame:
     partitioned = "city" in raw.columns
     rec = raw.select(
         (F.col("city") if partitioned else S.file_stem(F.col("_metadata.file_name"))).alias("city"),
@@ -141,13 +174,61 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+MANIFESTS = "_manifests"
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def commit_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet",
+                  partition_by: Sequence[str] | None = None) -> dict[str, str]:
+    """Write several tables so that readers see all of them or none.
+
+    Every table goes to a folder of a new version; only when all are written is
+    one small manifest file created that names them, and ``committed_tables``
+    reads through the newest manifest.  A run that breaks leaves the tables of
+    the last manifest in force; a rerun replaces all of them together.  Two
+    writers of the same version number end with one manifest, the other fails.
+    """
+    base = base.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    version = max(_versions(spark, base), default=0) + 1
+    folder = f"{base}/v{version:08d}-{uuid.uuid4().hex}"
+    paths = {name: write_table(df, f"{folder}/{name}", fmt, partition_by=partition_by) for name, df in tables.items()}
+    fs, target = _file_system(spark, f"{base}/{MANIFESTS}/{version:08d}.json")
+    out = fs.create(target, False)      # fails if the version is there
+    try:
+        out.write(bytearray(json.dumps({"format": fmt, "tables": paths}).encode()))
+    finally:
+        out.close()
+    return paths
+
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    fs, folder = _file_system(spark, f"{base}/{MANIFESTS}")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder) if f.getLen() > 0]
+    return [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+
+
+def committed_tables(spark: SparkSession, base: str) -> dict[str, str]:
+    """Table name -> folder of the newest committed version; empty if nothing was committed."""
+    base = base.rstrip("/")
+    versions = _versions(spark, base)
+    if not versions:
+        return {}
+    text = spark.read.text(f"{base}/{MANIFESTS}/{max(versions):08d}.json", wholetext=True).first()["value"]
+    return json.loads(text)["tables"]
+
+
 def write_tables(processed: DataFrame, daily: DataFrame, weekly: DataFrame, base: str,
                  fmt: str = "parquet", partition_by_city: bool = False) -> dict[str, str]:
-    """SNK1: processed data, daily and weekly stats (CSV with header on request)."""
-    part = ["city"] if partition_by_city else None
-    return {name: write_table(df, f"{base.rstrip('/')}/{name}", fmt, partition_by=part)
-            for name, df in (("processed", processed), ("daily_stats", daily),
-                             ("weekly_stats", weekly))}
+    """SNK1: processed data, daily and weekly stats (CSV with header on request), committed together."""
+    return commit_tables({"processed": processed, "daily_stats": daily, "weekly_stats": weekly}, base, fmt,
+                         ["city"] if partition_by_city else None)
 
 
 def write_labeled(df: DataFrame, path: str, fmt: str = "parquet") -> str:
