@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import written
+from demandspark.llm.common import let, written
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096         # queries of one search task
@@ -254,8 +254,19 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     return copies.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "qid long, vid long")
 
 
+def _scaled(v: Column) -> Column:
+    """The vector times a power of two that brings its largest component near 1, so that no square over- or underflows.
+
+    A power of two changes no digit, so cosines stay what they are.
+    """
+    def by_largest(m: Column) -> Column:
+        power = F.pow(F.lit(2.0), F.greatest(F.least(-F.floor(F.log2(m)), F.lit(1000)), F.lit(-1000)).cast("double"))
+        return F.transform(v, lambda x: x * power)
+    return let(F.array_max(F.transform(v, lambda x: F.abs(x))), by_largest)
+
+
 def _cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; components are scaled by the largest first, so nothing overflows."""
+    """Cosine in double precision of two scaled vectors."""
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -273,8 +284,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     own = (queries.withColumn("h", F.xxhash64("v")).join(entries.withColumn("h", F.xxhash64("v")), ["h", "v"])
            .select("qid", "vid"))
     found = search_index(index, queries, k + 1, beam).unionByName(own).distinct()
-    scored = (found.join(entries.select("vid", F.col("v").alias("cv"), "ids"), "vid")
-              .join(queries, "qid")
+    scored = (found.join(entries.select("vid", _scaled(F.col("v")).alias("cv"), "ids"), "vid")
+              .join(queries.select("qid", _scaled(F.col("v")).alias("v")), "qid")
               .select(F.col("qid").alias("query_id"), F.explode("ids").alias("vec_id"), _cosine(F.col("v"), F.col("cv")).alias("score"))
               .filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

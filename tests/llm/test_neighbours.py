@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from demandspark.llm import neighbours
@@ -101,3 +102,37 @@ def test_many_copies_of_one_vector(spark):
             assert got[q] == [i for i in range(0, 400, 3) if i != q][:5]
         else:
             assert len(set(got[q]) & {i for _, i in nearest}) >= 4
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-310, 1.0])
+def test_very_large_and_small_components(spark, size):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 4))
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 10 == 0, k=3).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 40, 10):
+        s = unit @ unit[q]
+        s[q] = -2
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert len(mine) == 3 and all(np.isfinite(r["score"]) for r in mine)
+        if size > 1e-300:      # subnormal numbers have lost digits
+            assert [r["vec_id"] for r in mine] == np.argsort(-s)[:3].tolist()
+            assert np.allclose([r["score"] for r in mine], np.sort(s)[::-1][:3], atol=1e-12)
+
+
+def test_recall_on_clustered_vectors_in_several_shards(spark, monkeypatch):
+    build = neighbours.build_index
+    monkeypatch.setattr(neighbours, "build_index", lambda entries: build(entries, 1500))
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 4500)] + rng.normal(0, 0.05, (4500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, k=5).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4500, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 5 * 90

@@ -54,5 +54,5 @@ def test_run_on_the_small_tables(spark):
 
 def test_every_operator_has_one_query():
     names = [n for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries.QUERIES
