@@ -16,7 +16,8 @@ from demandspark.llm import jaccard, language, line_dedup, packing, quality
 from demandspark.llm.common import without, written
 from demandspark.sources.fixtures import read_table
 
-#: A quadratic discriminant over document statistics has no SQL form; tests hold the stages against brute force.
+#: A quadratic discriminant over document statistics has no SQL form.  tests/llm/test_pipeline.py holds the third and
+#: fourth stage's rows against brute force, the first two against their operators' own results, the last by its ids.
 ORACLE_SQL = None
 
 

@@ -1,9 +1,11 @@
 import corpus_pipeline
-from demandspark.llm import queries
+from demandspark.llm import language, queries
 from demandspark.llm.common import written
 
 from conftest import SF_SMALL
-from edge import edge_docs, edge_rows, empty_docs
+from edge import DOC_SCHEMA, edge_docs, edge_rows, empty_docs, prose
+from test_jaccard import brute as brute_classes
+from test_line_dedup import brute as brute_lines
 
 ORDER = ["quality_classifier", "language_id", "line_dedup", "jaccard_join", "best_fit_packing"]
 
@@ -52,6 +54,41 @@ def test_run_on_the_small_tables(spark):
     assert len(lost) <= 0.08 * len(labels)
 
 
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on all its predecessor kept, with near copies, repeated passages and one labelled class of junk."""
+    rows = [(i, prose(i, 40 + i % 30), "en", "s", 1) for i in range(60)]
+    passage = "\n".join(prose(100 + k, 12) for k in range(4))
+    rows += [(100 + i, f"{prose(200 + i, 50)}\n{passage}\n{prose(300 + i, 20)}", "en", "s", 1) for i in range(8)]
+    rows += [(200 + i, prose(5, 400).replace("with", f"with{i}", 1), "en", "s", 1) for i in range(6)]     # near copies
+    rows += [(300 + i, " ".join(f"{w}***" for w in prose(400 + i, 40).split()), "en", "s", 1) for i in range(12)]
+    spark.createDataFrame([(r[0], int(r[0] < 300), 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)), f"brute-{name}")
+        kept[name] = docs.collect()
+    # 1: the rows that the classifier predicts to be good
+    good = {r["doc_id"] for r in kept["quality_classifier"]}
+    assert good >= {r[0] for r in rows if r[0] < 300} and not good & set(range(300, 312))
+    # 2: rows with an identified language
+    second = [tuple(r) for r in kept["language_id"]]
+    names = {r["doc_id"]: r for r in language.identify_documents(spark.createDataFrame(
+        [tuple(r) for r in kept["quality_classifier"]], DOC_SCHEMA)).collect()}
+    assert {r[0] for r in second} == {i for i, r in names.items() if r["lang"] != "und" and r["confidence"] >= 0.5}
+    # 3: texts without the later windows
+    want = brute_lines(second)
+    texts = {r["doc_id"]: r["text"] for r in kept["line_dedup"]}
+    assert texts == {k[1]: t for k, (t, gone) in want.items() if gone < len(k[2].split("\n")) or not gone}
+    assert any(gone for _, gone in want.values())
+    # 4: the least id of every class of near duplicates
+    classes = brute_classes([(i, t) for i, t in texts.items()])
+    assert {r["doc_id"] for r in kept["jaccard_join"]} == {i for i, c, _ in classes if i == c}
+    assert len([i for i in texts if 200 <= i < 206]) == 6 and len([r for r in kept["jaccard_join"] if 200 <= r["doc_id"] < 206]) == 1
+    # 5: every document packed
+    assert {r["doc_id"] for r in kept["best_fit_packing"]} == {r["doc_id"] for r in kept["jaccard_join"]}
+
+
 def test_every_operator_has_one_query():
     names = [n for n in queries.QUERIES if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
