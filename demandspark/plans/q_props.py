@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from demandspark.operators import arima, cluster, forecast as fc, iforest, kmeans_batch, models, reshape, scale, seasonal, ward
-from demandspark.plans import api
+from demandspark.plans import api, q_cluster
 from demandspark.plans.common import round_doubles
 from demandspark.plans.q_cluster import cluster_input
 from demandspark.plans.q_forecast import _FP_SQL, _train_test_scaled, forecast_panel
@@ -81,6 +81,29 @@ def ml5_projected_centres(spark, sf):
     return _rounded(out.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("centres"), F.max(gap).alias("largest_gap")))
 
 
+@query("ml4_frame_properties", DP + f"""SELECT CAST(count(*) AS BIGINT) AS rows, {r4('sum(demand)')} AS demand,
+  CAST(least(6, count(*)) AS BIGINT) AS centres, CAST(0 AS BIGINT) AS unlabelled, 0.0 AS mean1, 0.0 AS mean2 FROM demand_panel""")
+def ml4_frame_properties(spark, sf):
+    """Every row with its source columns, a label and centred scores, and the six projected centres."""
+    frame = q_cluster.ml4_ml5_pca_frame_and_centres(spark, sf)
+    own = ~F.col("is_centre")
+    out = frame.agg(F.count_if(own).alias("rows"), F.sum(F.when(own, F.col("demand"))).alias("demand"),
+                    F.count_if("is_centre").alias("centres"), F.count_if(F.col("kmeans_cluster").isNull()).alias("unlabelled"),
+                    F.avg(F.when(own, F.col("pc1"))).alias("mean1"), F.avg(F.when(own, F.col("pc2"))).alias("mean2"))
+    return round_doubles(out.select("rows", "demand", "centres", "unlabelled")).crossJoin(_rounded(out.select("mean1", "mean2")))
+
+
+@query("clu11_comparison_properties", DP + """SELECT * FROM (VALUES ('DBSCAN', TRUE, TRUE), ('Hierarchical', TRUE, TRUE),
+  ('K-Means', TRUE, TRUE)) v(algorithm, clusters_in_range, score_in_range) WHERE (SELECT count(*) FROM demand_panel) > 0""")
+def clu11_comparison_properties(spark, sf):
+    """One row a method, with its number of clusters and an exact silhouette in range (none with fewer than two clusters)."""
+    out = q_cluster.clu11_compare_algorithms(spark, sf)
+    least = {"K-Means": 2, "Hierarchical": 2, "DBSCAN": 0}
+    lowest = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    return out.select("algorithm", (F.col("clusters") >= lowest[F.col("algorithm")]).alias("clusters_in_range"),
+                      F.coalesce(F.col("silhouette").between(-1, 1), F.col("clusters") < 2).alias("score_in_range"))
+
+
 @query("clu2_sweep_properties", DP + """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(least(14, count(*)) AS INTEGER) AS last_k,
   CAST(0 AS BIGINT) AS bad_scores, TRUE AS ssd_falls FROM demand_panel""")
 def clu2_sweep_properties(spark, sf):
