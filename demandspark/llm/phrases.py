@@ -10,7 +10,8 @@
    fingerprints that may be frequent back to the blocks that they occur in.
 3. Only those runs are materialised: each block is read again with its own
    frequent fingerprints, occurrences are compared with the text (so that
-   colliding fingerprints fall apart), and Spark counts the phrases exactly.
+   colliding fingerprints fall apart), and buckets of packed phrases add the
+   blocks' counts up by text, exactly.
 4. Cuts, scores and the removal of phrases inside longer ones are joins and
    grouped aggregates over the frequent phrases.
 
@@ -29,10 +30,12 @@ candidates, and an empty table, give no rows; ids and other columns are not read
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -273,25 +276,51 @@ def exact_runs(block: Block, wanted: np.ndarray, shift: int) -> Iterator[tuple[i
 
 
 def _materialised(table: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
-    """(lang, n, phrase, f) per block: the runs of frequent fingerprints as text, with their exact counts there."""
+    """(bucket, lang, phrases, counts): by block and bucket of phrases, the runs of frequent fingerprints as text and their exact counts.
+
+    The phrases of a row are packed, one a line, so that rows grow with blocks and buckets and not with the phrases of every block.
+    """
     shift = 64 - KEY_BITS - bits
-    names = ["lang", "n", "phrase", "f"]
+    names = ["bucket", "lang", "phrases", "counts"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lang = left.column("lang")[0].as_py() if left.num_rows else ""
-        phrases, lengths, counts = [], [], []
+        phrases, counts = [], []
         if left.num_rows and right.num_rows:
             wanted = np.unique(np.concatenate([(np.uint64(b) << np.uint64(KEY_BITS)) | _keys(k).astype(np.uint64) for b, k in zip(
                 right.column("bucket").to_pylist(), right.column("keys").to_pylist())]))
-            for n, found, count in exact_runs(Block(lang, b"\n".join(left.column("body").to_pylist())), wanted, shift):
+            for _, found, count in exact_runs(Block(lang, b"\n".join(left.column("body").to_pylist())), wanted, shift):
                 phrases += found
-                lengths += [n] * len(found)
                 counts += count
-        return pa.table([pa.array([lang] * len(phrases), pa.string()), pa.array(lengths, pa.int32()),
-                         pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=names)
+        bucket = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) & ((1 << bits) - 1)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        parts = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)])]
+        number = np.array(counts, "<i8")
+        return pa.table([pa.array(bucket[[p[0] for p in parts]] if parts else [], pa.int64()), pa.array([lang] * len(parts), pa.string()),
+                         pa.array([b"\n".join([phrases[i] for i in p.tolist()]) for p in parts], pa.binary()),
+                         pa.array([number[p].tobytes() for p in parts], pa.binary())], names=names)
 
     return (table.select("block", "lang", "body").groupBy("block")
-            .cogroup(frequent.groupBy("block")).applyInArrow(run, "lang string, n int, phrase string, f long"))
+            .cogroup(frequent.groupBy("block")).applyInArrow(run, "bucket long, lang string, phrases binary, counts binary"))
+
+
+def _counted(found: DataFrame, min_count: int) -> DataFrame:
+    """(lang, n, phrase, f) of the phrases that all blocks together hold ``min_count`` times; equal ones have one bucket."""
+    def run(t: pa.Table) -> pa.Table:
+        each = [p.split(b"\n") for p in t.column("phrases").to_pylist()]
+        sums = pa.table([pa.array(np.repeat(np.arange(t.num_rows), [len(p) for p in each])),
+                         pa.array([x for p in each for x in p], pa.string()),
+                         pa.array(np.frombuffer(b"".join(t.column("counts").to_pylist()), "<i8"))], names=["row", "phrase", "f"])
+        lang = t.column("lang").combine_chunks().dictionary_encode()
+        sums = sums.set_column(0, "lang", lang.indices.take(sums.column("row").combine_chunks()))
+        sums = sums.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("f_sum"), min_count))
+        words = pc.add(pc.count_substring(sums.column("phrase"), " "), 1)
+        return pa.table([lang.dictionary.take(sums.column("lang").combine_chunks()), words.cast(pa.int32()), sums.column("phrase"),
+                         sums.column("f_sum")], names=["lang", "n", "phrase", "f"])
+
+    return found.groupBy("bucket").applyInArrow(run, "lang string, n int, phrase string, f long")
 
 
 def frequent_phrases(table: DataFrame, min_count: int = MIN_COUNT, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -300,8 +329,7 @@ def frequent_phrases(table: DataFrame, min_count: int = MIN_COUNT, bucket_keys:
     bits = max(0, int(np.ceil(np.log2(max(1.0, LONGEST * words / bucket_keys)))))
     census = _census(table, bits, min_count)
     frequent = _frequent(census, min_count)
-    found = _materialised(table, frequent, bits)
-    return found.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+    return _counted(_materialised(table, frequent, bits), min_count)
 
 
 def scored(frequent: DataFrame) -> DataFrame:

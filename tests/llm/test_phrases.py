@@ -90,3 +90,20 @@ def test_word_hash_is_free_of_place():
     b = ph.Block("en", long)
     h = b.word_hashes()
     assert h[0] == h[1] == h[2] == h[5] and len(set(h.tolist())) == 3
+
+
+def test_rows_grow_with_blocks_and_not_with_their_phrases(spark):
+    """Phrases travel packed: a block gives one row a bucket, however many frequent phrases it holds."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(400)), r.choice(["en", "de"]), "s", 1) for i in range(40)]
+    table = ph.blocks(spark.createDataFrame(rows, DOC_SCHEMA).repartition(2), block_bytes=4000).cache()
+    bits = 2
+    packed = ph._materialised(table, ph._frequent(ph._census(table, bits, 3), 3), bits)
+    found = {(x.lang, x.phrase): x.f for x in ph._counted(packed, 3).collect()}
+    want = {lang: Counter() for lang in ("en", "de")}
+    for _, text, lang, *_ in rows:
+        w = text.split()
+        for k in range(1, 5):
+            want[lang].update(" ".join(w[i:i + k]) for i in range(len(w) - k + 1))
+    assert found == {(lang, p): f for lang in want for p, f in want[lang].items() if f >= 3}
+    assert packed.count() <= 4 * table.select("block").distinct().count() < len(found)
