@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandspark.llm import packing
+from demandspark.llm.common import by_bytes
 
 from edge import edge_docs, edge_rows, empty_docs
 
@@ -107,3 +109,21 @@ def test_bound_never_exceeds_the_optimum(sizes):
     bins, offsets, count = packing.best_fit_decreasing(np.array(sizes), 20)
     assert best <= count
     assert max(np.bincount(bins, weights=sizes)) <= 20
+
+
+def test_a_quarter_of_a_million_words_is_learnt_once(monkeypatch):
+    """Text of several megabytes is one block, and its words are still known when they come again."""
+    encoder = packing.WordEncoder(packing.load_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    learnt = []
+    each = packing.WordEncoder._learn
+    monkeypatch.setattr(packing.WordEncoder, "_learn", lambda self, new: (learnt.append(len(new)), each(self, new)))
+    letters = "bcdfghjklmnprstvwxyz"
+    words = ["".join(letters[i // 20**k % 20] for k in range(5)) for i in range(0, 500_000, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words[i::50]) for i in range(50)] * 3)], names=["text"])
+    parts = list(by_bytes(batch, 0, packing.BLOCK_BYTES))
+    assert len(parts) == 1
+    ids, ends = encoder.encode(parts[0].column(0))
+    again, again_ends = encoder.encode(parts[0].column(0))
+    assert learnt == [len(words)]
+    assert np.array_equal(ids, again) and np.array_equal(ends, again_ends)
+    assert ids[:ends[1]].tolist() == encoder.tokenizer.encode(batch.column(0)[0].as_py(), add_special_tokens=False).ids
